@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanweave.llm import chat_pairs, line_dedup, mixing, quality_rules, resharding
+from spanweave.llm import chat_pairs, line_dedup, minhash_dedup, mixing, quality_rules, resharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op5_line_dedup": lambda s, d: line_dedup.line_dedup(_table(s, d, "documents")),
         "op7_flow_resharding": lambda s, d: resharding.reshard(_table(s, d, "documents")),
         "op8_quality_rules": lambda s, d: quality_rules.measure(_table(s, d, "documents")),
+        "op10_minhash_pairs": lambda s, d: minhash_dedup.grouped_pairs(_table(s, d, "documents")),
         "op9_preference_pairs": lambda s, d: chat_pairs.format_conversations(_table(s, d, "conversations")),
     }
 
