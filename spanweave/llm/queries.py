@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanweave.llm import chat_pairs, decontamination, line_dedup, minhash_dedup, mixing, quality_rules, resharding
+from spanweave.llm import chat_pairs, decontamination, language_id, line_dedup, minhash_dedup, mixing, quality_mil, quality_rules, resharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,8 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_language_id": lambda s, d: language_id.identify(_table(s, d, "documents")),
         "op2_benchmark_matches": lambda s, d: decontamination.matches(_table(s, d, "documents"), _table(s, d, "benchmark")),
         "op3_poisson_mixing": lambda s, d: mixing.mixed(_table(s, d, "documents")),
+        "op4_quality_mil": lambda s, d: quality_mil.classify(_table(s, d, "documents"), _table(s, d, "labels")),
         "op5_line_dedup": lambda s, d: line_dedup.line_dedup(_table(s, d, "documents")),
         "op7_flow_resharding": lambda s, d: resharding.reshard(_table(s, d, "documents")),
         "op8_quality_rules": lambda s, d: quality_rules.measure(_table(s, d, "documents")),
