@@ -197,10 +197,10 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     if model is None:
         return base.select("doc_id", F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("confidence"))
     schema = T.StructType([base.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("confidence", T.DoubleType())])
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.classes, model.idf, model.weights, model.temperature, model.rates))
 
     def run(batches):
-        m = sent.value
+        m = Model(*sent.value)
         names = pa.array([str(c) for c in m.classes])
         for b in batches:
             for lo, c in counts(b.column(1)):

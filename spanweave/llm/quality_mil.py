@@ -112,6 +112,12 @@ class Mil:
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
+    @classmethod
+    def of(cls, p: dict) -> Mil:
+        model = cls.__new__(cls)
+        model.p = p
+        return model
+
     def encode(self, x: np.ndarray) -> np.ndarray:
         return np.tanh(x @ self.p["V"] + self.p["b"])
 
@@ -194,10 +200,10 @@ def score(docs: DataFrame, model: Mil | None, id_col: str = "doc_id", text_col:
     """(doc_id, n_passages, quality, keep, top_passage) for each row."""
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = T.StructType([base.schema["doc_id"], T.StructField("n_passages", T.LongType()), T.StructField("quality", T.DoubleType()), T.StructField("keep", T.BooleanType()), T.StructField("top_passage", T.LongType())])
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model.p if model else None)
 
     def run(batches):
-        m = sent.value
+        m = Mil.of(sent.value) if sent.value else None
         for b in batches:
             n = np.zeros(b.num_rows, np.int64)
             rows, codes = [], []
