@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanweave.llm import chat_pairs, decontamination, language_id, line_dedup, minhash_dedup, mixing, quality_mil, quality_rules, resharding
+from spanweave.llm import chat_pairs, decontamination, language_id, line_dedup, minhash_dedup, mixing, quality_mil, quality_rules, recompression, resharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op3_poisson_mixing": lambda s, d: mixing.mixed(_table(s, d, "documents")),
         "op4_quality_mil": lambda s, d: quality_mil.classify(_table(s, d, "documents"), _table(s, d, "labels")),
         "op5_line_dedup": lambda s, d: line_dedup.line_dedup(_table(s, d, "documents")),
+        "op6_recompression_repeats": lambda s, d: recompression.repeats(_table(s, d, "documents")),
         "op7_flow_resharding": lambda s, d: resharding.reshard(_table(s, d, "documents")),
         "op8_quality_rules": lambda s, d: quality_rules.measure(_table(s, d, "documents")),
         "op10_minhash_pairs": lambda s, d: minhash_dedup.grouped_pairs(_table(s, d, "documents")),
