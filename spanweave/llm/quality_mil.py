@@ -1,7 +1,7 @@
 """Quality classifier: attention-based multiple-instance learning over passages.
 
 A document is a bag of passages of ``PASSAGE`` code points, which cover its
-whole text. A passage is hashed bigram and trigram counts and five shares
+whole text. A passage is its own hashed bigram and trigram counts and five shares
 (distinct n-grams, symbols, capitals, digits, line ends), encoded by one
 learned layer. Gated attention, tanh times sigmoid, weighs the encodings; the
 weighted sum is scored by logistic regression. Only document labels are used;
@@ -32,7 +32,8 @@ BUCKETS = 1 << 10
 WIDTH, GATE = 24, 16
 #: At most about so many labelled documents are trained on, drawn by a hash of the id.
 TRAIN_ROWS = 2000
-EPOCHS, RATE, DECAY = 30, 0.01, 1e-4
+#: Batches that are learned from, at every number of labels.
+STEPS, BATCH, RATE, DECAY = 960, 64, 0.01, 1e-4
 CHUNK = 1 << 19
 _EXTRA = 5
 
@@ -77,7 +78,7 @@ def _features(cp: np.ndarray, sizes: np.ndarray, lo: int) -> Iterator[tuple[np.n
     for step in (1, 2):
         h = (h[: n - step] ^ cp[step:]) * np.uint32(0x85EBCA77)
         h ^= h >> np.uint32(13)
-        same = row[: n - step] == row[step:]
+        same = place[: n - step] == place[step:]
         flat += np.bincount(place[: n - step][same] * BUCKETS + ((h * np.uint32(0xC2B2AE3D)) >> shift)[same], minlength=len(flat))
     c = flat.reshape(k, BUCKETS)
     size = np.bincount(place, minlength=k).astype(np.float32)
@@ -145,17 +146,17 @@ class Mil:
         return {"V": x.T @ dv, "b": dv.sum(0), "A": h.T @ dt, "G": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ ds, "d": np.array([ds.sum()])}
 
 
-def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 4) -> Mil:
-    """Adam over batches of 64 bags."""
+def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = 4) -> Mil:
+    """Adam over ``steps`` batches of at most BATCH bags."""
     model, rng = Mil(seed), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in model.p.items()}
     v = {k: np.zeros_like(u) for k, u in model.p.items()}
     counts = np.diff(np.append(first, len(x)))
     step = 0
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(len(y))
-        for at in range(0, len(order), 64):
-            bags = order[at : at + 64]
+        for at in range(0, len(order), BATCH):
+            bags = order[at : at + BATCH]
             n = counts[bags]
             begin = np.cumsum(n) - n
             rows = np.repeat(first[bags] - begin, n) + np.arange(n.sum())
