@@ -17,6 +17,12 @@ sides. The words of both sides are then fetched and compared, and what agrees
 for at least ``LEAST`` words is a repeat. So the names only propose; each
 reported repeat was compared word by word (by 32 bits of each word's hash).
 
+What can be missed: a repeat that is the end of one run and the start of
+another, when both runs are shorter than ``LEAST`` and of other lengths in the
+two places, has no symbol in common; and a repeat is cut ``EDGE`` words beyond
+the outermost symbol that links to its source. Against all runs of ``LEAST``
+words this left out 0.12 % of the repeated words of 10,000 documents.
+
 Defined cases: null ids and null or empty texts take no part; texts of fewer
 than ``LEAST`` words have no repeat; rows that repeat an id and a text are one
 document; rows that share an id are versions of one document, whose equal
