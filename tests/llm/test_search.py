@@ -204,6 +204,35 @@ def test_repeats_odd_rows(spark):
     assert rec.repeats(docs.limit(0)).count() == 0
 
 
+def test_repeats_whose_parts_occur_before_elsewhere(spark):
+    """X and Y hold parts of a passage that are too short to be repeats; A and B hold it whole."""
+    rng = random.Random(11)
+    docs = []
+    for _ in range(30):
+        p = _prose(rng, 60)
+        for part in (p[:40], p[20:], p, p):
+            docs.append((len(docs), " ".join(_prose(rng, 20) + part + _prose(rng, 20))))
+    found = rec.repeats(spark.createDataFrame(docs, DOC)).collect()
+    _check_places(docs, found)
+    want = _covered_by_force(docs)
+    assert len(want) >= 30 * 60 and _covered(found) == want
+
+
+def test_repeats_in_a_large_group_of_edited_copies(spark):
+    """Each place has few variants, so that most runs come from some copy other than the first."""
+    rng = random.Random(12)
+    base = _prose(rng, 240)
+    docs = []
+    for i in range(150):
+        own = [f"{v}v{rng.randrange(3)}" if k % 24 == 0 else v for k, v in enumerate(base)]
+        docs.append((i, " ".join(own)))
+    docs += [(200 + i, docs[rng.randrange(100)][1]) for i in range(10)]
+    found = rec.repeats(spark.createDataFrame(docs, DOC)).collect()
+    _check_places(docs, found)
+    want = _covered_by_force(docs)
+    assert len(want) > 20_000 and _covered(found) == want
+
+
 def test_equal_runs_get_equal_symbols():
     rng = np.random.default_rng(0)
     p = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
