@@ -59,6 +59,24 @@ def test_rules_on_an_empty_table(spark):
     assert quality_rules.measure(_docs(spark, [])).count() == 0 == quality_rules.accepted(_docs(spark, [])).count()
 
 
+def test_blank_lines_between_paragraphs_are_no_repeated_lines(spark):
+    paragraphs = [f"the story of day {k} is that it was a fine day and {chr(97 + k) * 3} met {chr(97 + k) * 4}" for k in range(26)]
+    docs = _docs(spark, [(1, "\n\n".join(paragraphs)), (2, "\r\n \t\r\n".join(paragraphs)), (3, "\n\n".join(["the same line for all of it"] * 26))])
+    got = {r.doc_id: r for r in quality_rules.measure(docs).collect()}
+    assert got[1].keep and got[2].keep and got[1].n_lines == got[1].n_distinct_lines == got[2].n_lines == 26
+    assert "repeated_lines" in got[3].failed and [r.doc_id for r in quality_rules.accepted(docs).collect()] == [1, 2]
+
+
+def test_a_clean_very_long_text_has_no_repeated_words(spark):
+    """300,000 words of which 8,000 are distinct (2.7 %), as in natural prose of that length; junk of that length still fails."""
+    letters = "abcdefghijklmnopqrst"
+    prose = " ".join(f"the {letters[k % 20]}{letters[k // 20 % 20]}{letters[k // 400 % 20]}o of" for k in range(100_000))
+    docs = _docs(spark, [(1, prose), (2, LONG)])
+    got = {r.doc_id: r for r in quality_rules.measure(docs).collect()}
+    assert got[1].n_words == 300_000 and got[1].n_distinct_words == 8_002 and got[1].keep
+    assert "repeated_words" in got[2].failed
+
+
 def test_rules_use_no_user_functions(spark, sf_dir):
     plan = queries.queries()["op8_quality_rules"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
