@@ -3,13 +3,18 @@
 N-grams of one to three code points of the lower-cased text are hashed to
 ``BUCKETS``. Document frequencies are counted over all documents. Weights are
 trained on the driver with follow-the-regularised-leader (proximal, one step
-size a coordinate) under L1 and L2 penalties, on a sample of at most
-``TRAIN_ROWS`` labelled documents; one in five of them is held out, and the
+size a coordinate) under L1 and L2 penalties, on a sample of about
+``TRAIN_ROWS`` labelled documents. Each language is drawn at its own share: the
+one that gives ``TRAIN_ROWS`` of all labelled rows, or more where that leaves a
+language under its floor of ``TRAIN_ROWS`` / (2 x languages) rows, and all its
+rows where it has no more. So about 1.5 x ``TRAIN_ROWS`` rows are expected at
+most, no language gets more than twice its quota, and every labelled language
+has a row, however large the table and however rare the label. One in five of them is held out, and the
 temperature that minimises their log-loss calibrates the probabilities. Every
 document is then scored over its whole text.
 
 Defined cases: null and empty texts have no n-gram and get the classes' rates
-among the training rows; rows without a label are scored but not trained on;
+among the labelled rows; rows without a label are scored but not trained on;
 without any labelled row, lang_pred and confidence are null; with one class,
 confidence is 1; ties go to the first class in order of name; repeated rows
 count and are scored each; an empty table gives an empty table; only the id,
@@ -23,14 +28,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 #: Hash buckets of n-grams; the longest n-gram.
 BUCKETS = 1 << 13
 LONGEST = 3
-#: At most so many labelled documents are trained on (about; drawn by a hash of the text).
+#: About so many labelled documents are trained on, and half as many again for rare languages (drawn by a hash of the text).
 TRAIN_ROWS = 4000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.3, 1e-3
@@ -162,23 +168,46 @@ class Model:
         return p
 
 
-def sample(docs: DataFrame, rows: int, total: int, text_col: str, label_col: str) -> pa.Table:
-    """About ``rows`` labelled rows, drawn by a hash of the text."""
-    share = min(1 << 30, -(-rows * (1 << 30) // max(total, 1)))
+def label_counts(docs: DataFrame, text_col: str, label_col: str) -> dict:
+    """label -> (rows with a text, the least hash of their texts), over all rows."""
     t = F.col(f"`{text_col}`").cast("string")
-    drawn = docs.filter(F.col(f"`{label_col}`").isNotNull() & t.isNotNull() & (F.pmod(F.xxhash64(t), F.lit(1 << 30)) < share))
-    return drawn.select(t.alias("text"), F.col(f"`{label_col}`").alias("label")).limit(2 * rows).toArrow().sort_by([("label", "ascending"), ("text", "ascending")])
+    rows = docs.filter(F.col(f"`{label_col}`").isNotNull() & t.isNotNull()).groupBy(F.col(f"`{label_col}`").alias("label")).agg(F.count("*").alias("n"), F.min(_draw(t)).alias("least")).collect()
+    return {r["label"]: (r["n"], r["least"]) for r in rows}
+
+
+def _draw(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(1 << 30))
+
+
+def quotas(sizes: dict, rows: int) -> dict:
+    """label -> rows to draw: in proportion, but a language has its floor or all its rows."""
+    total, floor = sum(sizes.values()), max(1, rows // (2 * max(len(sizes), 1)))
+    return {k: min(n, max(-(-rows * n // total), floor)) for k, n in sizes.items()}
+
+
+def sample(docs: DataFrame, rows: int, found: dict, text_col: str, label_col: str) -> pa.Table:
+    """About ``rows`` labelled rows, drawn from each class by a hash of the text; a class's least hash is always drawn."""
+    want = quotas({k: n for k, (n, _) in found.items()}, rows)
+    spark = docs.sparkSession
+    kind = T.StructType([T.StructField("_label", docs.schema[label_col].dataType), T.StructField("_below", T.LongType()), T.StructField("_most", T.LongType())])
+    shares = [(k, max(-(-want[k] * (1 << 30) // n), least + 1), 2 * want[k]) for k, (n, least) in found.items()]
+    t = F.col("text")
+    own = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").alias("label")).filter(t.isNotNull())
+    drawn = own.join(F.broadcast(spark.createDataFrame(shares, kind)), F.col("label") == F.col("_label")).filter(_draw(t) < F.col("_below"))
+    kept = drawn.withColumn("_k", F.row_number().over(Window.partitionBy("label").orderBy(_draw(t), t))).filter("_k <= _most")
+    return kept.select("text", "label").toArrow().sort_by([("label", "ascending"), ("text", "ascending")])
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, text_col: str = "text", label_col: str = "lang", seed: int = 1) -> Model | None:
     df, n = document_frequencies(docs, text_col)
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(1)
-    rows = sample(docs, train_rows, n, text_col, label_col)
-    if not rows.num_rows:
+    found = label_counts(docs, text_col, label_col)
+    if not found:
         return None
+    rows = sample(docs, train_rows, found, text_col, label_col)
     classes = sorted(set(rows.column(1).to_pylist()), key=str)
     y = np.array([classes.index(v) for v in rows.column(1).to_pylist()])
-    rates = np.bincount(y, minlength=len(classes)) / len(y)
+    rates = np.array([found[c][0] for c in classes]) / sum(found[c][0] for c in classes)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     x = np.concatenate([features(c, idf) for _, c in counts(rows.column(0))])

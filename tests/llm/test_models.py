@@ -107,6 +107,26 @@ def test_languages_odd_rows(spark):
     assert one.lang_pred == "aa" and one.confidence == 1.0
 
 
+def test_a_large_table_with_few_labels_and_a_rare_language(spark):
+    """Few of the rows are labelled, and one language has four rows of them; all are trained on."""
+    docs = [d if d[0] < 50 else (*d[:2], None) for d in _lang_docs(4000)]
+    rare = [(9000 + i, "kuća reka kamen žena dete " * (3 + i), "zz" if i < 4 else None) for i in range(8)]
+    df = spark.createDataFrame(docs + rare, DOCS)
+    got = {r.doc_id: r.lang_pred for r in lid.identify(df, 40).collect()}
+    assert [got[i] for i, *_ in rare] == ["zz"] * 8
+    full = {i: lang for i, _, lang in _lang_docs(4000)}
+    assert sum(got[i] == lang for i, lang in full.items()) >= 0.9 * len(full)
+
+
+def test_a_rare_language_is_drawn_among_many_labels(spark):
+    docs = _lang_docs(3000) + [(9000, "kuća reka kamen", "zz")]
+    df = spark.createDataFrame(docs, DOCS)
+    found = lid.label_counts(df, "text", "lang")
+    drawn = Counter(lid.sample(df, 100, found, "text", "lang").column(1).to_pylist())
+    assert drawn["zz"] == 1 and set(drawn) == {"aa", "bb", "cc", "zz"} and sum(drawn.values()) <= 300
+    assert lid.quotas({"aa": 10**9, "zz": 50}, 4000) == {"aa": 4000, "zz": 50}
+
+
 # --- passage classifier
 
 
