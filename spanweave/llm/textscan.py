@@ -1,12 +1,16 @@
 """Words and their hashes for whole batches of texts, as numpy arrays.
 
-A word is a maximal run of ASCII letters, digits, '_' and all non-ASCII
-characters of the lower-cased text. ``words`` is the plain form of the same.
+A word is a maximal run of letters, digits, combining marks and '_' of the
+lower-cased text; everything else separates words. A letter of a script that is
+written without spaces (Chinese, Japanese, Thai, Lao, Khmer, Burmese) is a word
+of its own, with the marks that follow it. ``words`` is the plain form of the
+same.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +21,30 @@ import pyarrow.compute as pc
 #: Bytes of text that are scanned at once; a longer text is scanned alone and whole.
 CHUNK = 1 << 21
 
-_PLAIN = re.compile("[0-9a-z_\u0080-\U0010ffff]+")
+#: First and last code points of the scripts and extensions that are written without spaces.
+_ALONE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF))
+_SEPARATOR, _LETTER, _OWN, _MARK = range(4)
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """(first code points of the stretches of one kind beyond ASCII, their kinds)."""
+    kind = np.array([{"L": _LETTER, "N": _LETTER, "M": _MARK}.get(unicodedata.category(chr(c))[0], _SEPARATOR) for c in range(0x80, 0x110000)], np.uint8)
+    for a, b in _ALONE:
+        part = kind[a - 0x80 : b + 1 - 0x80]
+        part[part == _LETTER] = _OWN
+    at = np.flatnonzero(np.append(True, kind[1:] != kind[:-1]))
+    return (at + 0x80).astype(np.int64), kind[at]
+
+
+_FROM, _KIND = _kinds()
+
+
+def _class(*kinds: int) -> str:
+    ends = np.append(_FROM[1:], 0x110000) - 1
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b, k in zip(_FROM.tolist(), ends.tolist(), _KIND.tolist()) if k in kinds)
+
+
+_PLAIN = re.compile(f"[{_class(_OWN)}][{_class(_MARK)}]*|[0-9a-z_{_class(_LETTER, _MARK)}]+")
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, dtype=np.uint64))
@@ -54,10 +81,34 @@ class Scan:
         return np.repeat(np.arange(self.hi - self.lo), np.diff(self.offsets))
 
 
+def _beyond_ascii(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of separators beyond ASCII, bytes before which a word ends) of UTF-8 data."""
+    lead = np.flatnonzero(data >= 0xC0)
+    first = data[lead].astype(np.int64)
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    point = first & (0xFF >> (size + 1))
+    for k in range(1, 4):
+        has = size > k
+        point[has] = point[has] << 6 | data[lead[has] + k] & 0x3F
+    kind = _KIND[np.searchsorted(_FROM, point, side="right") - 1]
+    gone = kind == _SEPARATOR
+    apart = np.repeat(lead[gone], size[gone])
+    apart = apart + np.arange(len(apart)) - np.repeat(np.cumsum(size[gone]) - size[gone], size[gone])
+    # marks that follow a letter beyond ASCII at once go with it
+    group = np.ones(len(lead), bool)
+    group[1:] = (kind[1:] != _MARK) | (lead[:-1] + size[:-1] != lead[1:]) | np.isin(lead[1:], starts)
+    heads = np.flatnonzero(group)
+    last = np.append(heads[1:], len(lead)) - 1
+    own = kind[heads] == _OWN
+    return apart, np.concatenate([lead[heads[own]], (lead + size)[last[own]]])
+
+
 def _scan(data: np.ndarray, starts: np.ndarray, lo: int) -> Scan:
     """data: bytes of some rows; starts: n+1 byte offsets of rows in it."""
     n = len(starts) - 1
     mask = _WORD[data]
+    apart, ends = _beyond_ascii(data, starts)
+    mask[apart] = False
     idx = np.flatnonzero(mask)
     if not len(idx):
         return Scan(lo, lo + n, np.zeros(0, np.uint64), np.zeros(n + 1, np.int64))
@@ -65,6 +116,7 @@ def _scan(data: np.ndarray, starts: np.ndarray, lo: int) -> Scan:
     head[0] = True
     head[1:-1] = ~mask[:-1]
     head[starts] = True
+    head[ends] = True
     first = np.flatnonzero(head[idx])
     lengths = np.diff(np.append(first, len(idx)))
     local = np.arange(len(idx)) - np.repeat(first, lengths)

@@ -39,6 +39,34 @@ def test_scans_equal_the_plain_words():
     assert at == len(texts) and len(set(seen.values())) == len(seen)
 
 
+def test_words_of_scripts_and_typographic_punctuation():
+    assert words("l\u2019\u00e9t\u00e9\u00a0\u00abfin\u00bb \u2014 don\u2019t\u2026") == words("l'\u00e9t\u00e9 \"fin\" - don't...") == ["l", "\u00e9t\u00e9", "fin", "don", "t"]
+    assert words("\u65e5\u672c\u8a9e\u3002abc\u6587\u3001x1") == ["\u65e5", "\u672c", "\u8a9e", "abc", "\u6587", "x1"]
+    assert words("\u0e17\u0e35\u0e48\u0e19\u0e35\u0e48") == ["\u0e17\u0e35\u0e48", "\u0e19\u0e35\u0e48"]
+    assert words("cafe\u0301 \u0915\u093f\u0924\u093e\u092c") == ["cafe\u0301", "\u0915\u093f\u0924\u093e\u092c"]
+
+
+def test_scans_equal_the_plain_words_beyond_ascii():
+    rng = random.Random(4)
+    signs = "ab1_ .\u00e9\u0301\u0e17\u0e35\u65e5\u3002\u2019\u00a0\U00020000\U0001f600\u30ab\u0915\u093f\u00ff"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    seen = {}
+    for s in scans(pa.array(texts)):
+        for i in range(s.lo, s.hi):
+            own = s.hashes[s.offsets[i - s.lo] : s.offsets[i - s.lo + 1]].tolist()
+            plain = words(texts[i])
+            assert len(own) == len(plain)
+            assert all(seen.setdefault(w, h) == h for w, h in zip(plain, own))
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_a_benchmark_item_in_chinese_is_found(spark):
+    item = "".join(chr(0x4E00 + 37 * k) for k in range(30))
+    docs = [(1, "\u524d\u8a00\u3002" + item + "\u5b8c"), (2, "\u524d\u8a00\u3002")]
+    got = _found(dec.matches(spark.createDataFrame(docs, DOC), spark.createDataFrame([(1, item + "\u3002")], BENCH)))
+    assert got[1, 1, "phrase"] == (30, 2) and {k[0] for k in got} == {1}
+
+
 # --- near duplicates
 
 
