@@ -126,7 +126,14 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
 
 
 def grouped_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, matches, group_id): the pairs and the group each belongs to."""
+    """(doc_a, doc_b, matches, group_id): the pairs and the group each belongs to.
+
+    Signatures are equal if and only if ``matches`` is ``COORDINATES``. So every
+    pair that isn't listed follows from the rows: documents that such rows tie
+    to the same doc_a are a class with it, any two of a class match in all
+    coordinates, and a row between two classes' smallest ids holds, with its
+    matches, for each document of one with each of the other.
+    """
     pairs = Written(near_pairs(docs, threshold), "pairs").df
     groups = Written(components(pairs, "doc_a", "doc_b").select(F.col("node").alias("doc_a"), F.col("component").alias("group_id")), "groups")
     return pairs.join(groups.side(), "doc_a").select("doc_a", "doc_b", "matches", "group_id")

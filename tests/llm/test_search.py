@@ -163,6 +163,22 @@ def test_grouped_pairs_name_each_pair_once(spark):
     assert len(got) == len({(r.doc_a, r.doc_b) for r in got}) and all(r.group_id <= r.doc_a < r.doc_b for r in got)
 
 
+def test_grouped_pairs_expand_to_all_pairs(spark):
+    docs = _near_corpus()
+    sig, t = _signatures(docs), mh.least_matches()
+    want = {(a, b): n for a in sig for b in sig if a < b and (n := int((sig[a] == sig[b]).sum())) >= t}
+    rows = mh.grouped_pairs(spark.createDataFrame(docs, DOC)).collect()
+    of = {r.doc_b: r.doc_a for r in rows if r.matches == mh.COORDINATES}
+    classes = defaultdict(list)
+    for i in sig:
+        classes[of.get(i, i)].append(i)
+    got = {(a, b): mh.COORDINATES for c in classes.values() for a in c for b in c if a < b}
+    for r in rows:
+        if r.matches < mh.COORDINATES:
+            got |= {(min(a, b), max(a, b)): r.matches for a in classes[r.doc_a] for b in classes[r.doc_b]}
+    assert got == want and len(want) > len(rows)
+
+
 # --- repeats
 
 
