@@ -1,27 +1,43 @@
 """MinHash near-duplicates by an inverted join over signature coordinates.
 
 A text's signature is the minimum of 64 hash functions over its runs of three
-words. Documents with equal signatures become one entry. Every entry is posted
-under each (coordinate, value) pair. Pairs that only one entry has are skipped,
-and with them every entry that has fewer than T shared pairs left, since it
-can't reach T matches. The rest of an entry's pairs are put in order of how
-many entries share them, rarest first; two entries with T matches must meet in
-the first size - T + 1 of each, so only those prefixes are joined. Candidates'
-matches are then counted over the whole signatures; pairs of at least T stay.
-Nothing is capped: the skips drop only what can't match.
-
-Defined cases: null and empty texts, and texts without words, have no signature
-and match nothing; texts of one or two words count as one run; a null id can't
-be named in a pair, so its row matches nothing (``one_of_each`` keeps it); rows
-that repeat an id are one document and never a pair; an empty table gives an
-empty table; other columns are not read, so their names can't clash.
+words. Documents with equal signatures are a class, one entry of the join.
+Every entry is posted under each (coordinate, value) pair. Pairs that only one
+entry has are skipped, and with them every entry that has fewer than T shared
+pairs left, since it can't reach T matches. The rest of an entry's pairs are put
+in order of how many entries share them, rarest first; two entries with T
+matches must meet in the first size - T + 1 of each, so only those prefixes are
+posted again, as lists. Two entries are linked when at least T coordinates are
+equal.
+
+Groups are the components of the links, found without listing a group's pairs:
+the entries of a list are compared with its smallest and its largest only, and
+what that joins is merged. A list that still holds several groups is then
+compared across them: the entries outside of its commonest group with all
+others of other groups. Whoever shares a list is so either in one group
+already or compared, hence no link between groups is lost.
+
+Links are counted without listing them either. The commonest value of each
+coordinate is a group's centre. Unequal coordinates are a distance, so entries
+whose distances from the centre sum to at most 64 - T are linked for certain
+and counted by a histogram of distances. Only the pairs beyond that, of which
+one at least is farther than (64 - T) / 2 from the centre, are compared. Nothing
+is capped.
+
+Defined cases: a document is a distinct (id, text), so rows that repeat both are
+one, and rows that share an id only, or have no id, are documents of their own;
+null and empty texts, and texts without words, match nothing; texts of one or
+two words count as one run; very long texts are hashed whole; a group's id is
+its smallest one, null where it has none; ties of a coordinate's commonest value
+go to the larger one, which changes no result; an empty table gives an empty
+table; other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +53,7 @@ THRESHOLD = 0.55
 _rng = np.random.default_rng(10)
 _XOR = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_KEY = _rng.integers(0, 1 << 63, (2, COORDINATES), dtype=np.uint64)
 
 
 def least_matches(threshold: float = THRESHOLD) -> int:
@@ -69,77 +86,139 @@ def signatures_of(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, sig) for each document with words."""
-    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("id IS NOT NULL AND text <> ''")
-    schema = T.StructType([T.StructField("id", base.schema["id"].dataType), T.StructField("sig", T.ArrayType(T.IntegerType(), False))])
+    """(id, version, k1, k2, sig) for each row with words: the text's hash, and the signature with its 128-bit key."""
+    text = F.col(f"`{text_col}`").cast("string")
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("version"), text.alias("text")).filter("text <> ''")
+    schema = T.StructType([base.schema["id"], base.schema["version"], T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("sig", T.ArrayType(T.IntegerType(), False))])
 
     def run(batches):
         for b in batches:
-            for s in scans(b.column(1)):
+            for s in scans(b.column(2)):
                 rows, sig = signatures_of(s.hashes, s.offsets)
                 if len(rows):
+                    keys = [pa.array(mix(mix(sig + k).sum(1)).view(np.int64)) for k in _KEY]
                     flat = pa.array(sig.reshape(-1).view(np.int32))
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.__len__() + 1, COORDINATES, dtype=np.int32)), flat)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows + s.lo)), lists], names=["id", "sig"])
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, COORDINATES, dtype=np.int32)), flat)
+                    at = pa.array(rows + s.lo)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *keys, lists], names=schema.names)
 
     return base.mapInArrow(run, schema)
 
 
-def _entries(sigs: DataFrame) -> DataFrame:
-    """(rep, sig): one entry for each distinct signature, named by its smallest id."""
-    return sigs.groupBy("sig").agg(F.min("id").alias("rep"))
-
-
-def _candidates(entries: DataFrame, t: int) -> DataFrame:
-    """(a, b): entries whose prefixes meet, a < b."""
-    posted = entries.select("rep", F.posexplode("sig").alias("k", "v")).select("rep", (F.col("k").cast("long") * F.lit(1 << 32) + F.col("v").cast("long")).alias("pair"))
+def _lists(entries: DataFrame, t: int) -> DataFrame:
+    """(pair, e): the lists of the entries' prefixes, those of one entry left out."""
+    posted = entries.select("e", F.posexplode("sig").alias("k", "v")).select("e", (F.col("k").cast("long") * F.lit(1 << 32) + F.col("v").cast("long")).alias("pair"))
     shared = posted.groupBy("pair").agg(F.count("*").alias("n")).filter("n > 1")
-    left = posted.join(shared, "pair").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "pair"))).alias("ps")).filter(F.size("ps") >= t)
-    prefix = Written(left.select("rep", F.explode(F.slice("ps", F.lit(1), F.size("ps") - (t - 1))).alias("p")).select("rep", F.col("p.pair").alias("pair")), "prefix").df
-    other = prefix.select(F.col("rep").alias("b"), "pair")
-    return prefix.select(F.col("rep").alias("a"), "pair").join(other, "pair").filter("a < b").select("a", "b").distinct()
-
-
-def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_a, doc_b, matches) with doc_a < doc_b.
-
-    Among distinct signatures, every pair of at least ``threshold`` matching
-    coordinates; documents of equal signatures are each paired with the
-    smallest of them, which stands for them in the other pairs.
-    """
-    t = least_matches(threshold)
-    sigs = Written(signatures(docs, id_col, text_col), "signatures").df
-    entries = Written(_entries(sigs), "entries").df
-    found = Written(_candidates(entries, t), "candidates").df
-    sa = entries.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
-    sb = entries.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
-    equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e)).cast("long")
-    near = found.join(sa, "a").join(sb, "b").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), equal.alias("matches")).filter(F.col("matches") >= t)
-    same = sigs.join(entries, "sig").filter("id <> rep").select(F.col("rep").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(COORDINATES).cast("long").alias("matches"))
-    return near.unionByName(same).groupBy("doc_a", "doc_b").agg(F.max("matches").alias("matches"))
-
-
-def near_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, group_id) for each document in a pair; the group is its smallest id."""
-    pairs = Written(near_pairs(docs, threshold, id_col, text_col), "pairs").df
-    return components(pairs, "doc_a", "doc_b").select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
-
-
-def grouped_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, matches, group_id): the pairs and the group each belongs to.
-
-    Signatures are equal if and only if ``matches`` is ``COORDINATES``. So every
-    pair that isn't listed follows from the rows: documents that such rows tie
-    to the same doc_a are a class with it, any two of a class match in all
-    coordinates, and a row between two classes' smallest ids holds, with its
-    matches, for each document of one with each of the other.
+    left = posted.join(shared, "pair").groupBy("e").agg(F.sort_array(F.collect_list(F.struct("n", "pair"))).alias("ps")).filter(F.size("ps") >= t)  # COORDINATES pairs at most
+    prefix = left.select("e", F.explode(F.slice("ps", F.lit(1), F.size("ps") - (t - 1))).alias("p"))
+    return prefix.select(F.col("p.pair").alias("pair"), "e")
+
+
+def _unequal(x: str, y: str) -> Column:
+    return F.size(F.filter(F.zip_with(x, y, lambda a, b: a != b), lambda e: e))
+
+
+def _linked(pairs: DataFrame, entries: DataFrame, t: int) -> DataFrame:
+    """The pairs (a, b, ...) of entries with at least t equal coordinates."""
+    sa = entries.select(F.col("e").alias("a"), F.col("sig").alias("_sa"))
+    sb = entries.select(F.col("e").alias("b"), F.col("sig").alias("_sb"))
+    return pairs.join(sa, "a").join(sb, "b").filter(_unequal("_sa", "_sb") <= COORDINATES - t).drop("_sa", "_sb")
+
+
+class Near:
+    """The classes, lists and groups of a table, each written to the shared folder."""
+
+    def __init__(self, docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"):
+        self.t = least_matches(threshold)
+        signed = Written(signatures(docs, id_col, text_col), "signatures").df
+        rows = signed.groupBy("id", "version", "k1", "k2").agg(F.count("*").alias("rows"))
+        self.members = Written(rows, "members").df
+        sizes = self.members.groupBy("k1", "k2").agg(F.count("*").alias("w"))
+        kept = signed.groupBy("k1", "k2").agg(F.any_value("sig").alias("sig"))
+        self.entries = Written(kept.join(sizes, ["k1", "k2"]).withColumn("e", F.monotonically_increasing_id()), "entries").df
+        self.lists = Written(_lists(self.entries, self.t), "lists").df
+        self.groups = Written(self._groups(), "groups").df
+
+    def _groups(self) -> DataFrame:
+        """(e, g): the group of each entry that has a link to another."""
+        ends = self.lists.groupBy("pair").agg(F.min("e").alias("lo"), F.max("e").alias("hi")).filter("lo < hi")
+        ray = self.lists.join(ends, "pair").select("e", F.explode(F.array("lo", "hi")).alias("c")).filter("e <> c")
+        stars = ray.select(F.least("e", "c").alias("a"), F.greatest("e", "c").alias("b")).distinct()
+        first = Written(components(_linked(stars, self.entries, self.t)), "first").df.select(F.col("node").alias("e"), F.col("component").alias("g"))
+        named = Written(self.lists.join(first, "e", "left").select("pair", "e", F.coalesce("g", "e").alias("g")), "named").df
+        inside = named.groupBy("pair", "g").agg(F.count("*").alias("n")).groupBy("pair").agg(F.count("*").alias("k"), F.max_by("g", F.struct("n", "g")).alias("main")).filter("k > 1")
+        open_ = Written(named.join(inside, "pair").select("pair", "e", "g", (F.col("g") == F.col("main")).alias("main")), "open").df
+        minor = open_.filter("NOT main").select("pair", F.col("e").alias("a"), F.col("g").alias("ga"))
+        every = open_.select("pair", F.col("e").alias("b"), F.col("g").alias("gb"), "main")
+        across = minor.join(every, "pair").filter("ga <> gb AND (main OR a < b)").select("a", "b", "ga", "gb").distinct()
+        merged = components(_linked(across, self.entries, self.t).select("ga", "gb"), "ga", "gb").select(F.col("node").alias("g"), F.col("component").alias("top"))
+        alone = merged.select(F.col("g").alias("e"), "g").join(first.select("e"), "e", "left_anti")  # had no link before
+        return first.unionByName(alone).join(Written(merged, "merged").side(), "g", "left").select("e", F.coalesce("top", "g").alias("g"))
+
+    def links(self) -> DataFrame:
+        """(e, n): how many documents of other classes each entry of a group is linked with."""
+        room = COORDINATES - self.t
+        inside = self.entries.join(self.groups, "e").select("e", "g", "w", "sig")
+        votes = inside.select("g", F.posexplode("sig").alias("k", "v")).groupBy("g", "k", "v").agg(F.count("*").alias("n"))
+        best = votes.groupBy("g", "k").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
+        centre = best.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("centre"))  # COORDINATES values
+        far = Written(inside.join(centre, "g").select("e", "g", "w", _unequal("sig", "centre").alias("d")), "distances").df
+        bins = far.groupBy("g", "d").agg(F.sum("w").alias("n"))
+        bins = bins.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("d", "n"))).alias("bins"))  # COORDINATES + 1 distances
+        sure = F.aggregate(F.map_entries(F.map_filter("bins", lambda d, n: d <= room - F.col("d"))), F.lit(0).cast("long"), lambda s, x: s + x["value"])
+        known = far.join(bins, "g").select("e", (sure - F.when(2 * F.col("d") <= room, F.col("w")).otherwise(0)).alias("n"))
+        listed = Written(self.lists.join(far, "e").select("pair", "e", "g", "w", "d"), "listed").df
+        outer = listed.filter(2 * F.col("d") > room).select("pair", F.col("e").alias("a"), F.col("g").alias("ga"), F.col("w").alias("wa"), F.col("d").alias("da"))
+        other = listed.select("pair", F.col("e").alias("b"), F.col("g").alias("gb"), F.col("w").alias("wb"), F.col("d").alias("db"))
+        open_ = (F.col("ga") == F.col("gb")) & (F.col("da") + F.col("db") > room) & (F.abs(F.col("da") - F.col("db")) <= room) & ((2 * F.col("db") <= room) | (F.col("a") < F.col("b")))
+        pairs = Written(_linked(outer.join(other, "pair").filter(open_).select("a", "b", "wa", "wb").distinct(), self.entries, self.t), "pairs").df
+        compared = pairs.select(F.col("a").alias("e"), F.col("wb").alias("n")).unionByName(pairs.select(F.col("b").alias("e"), F.col("wa").alias("n")))
+        return known.unionByName(compared).groupBy("e").agg(F.sum("n").alias("n"))
+
+    def documents(self) -> DataFrame:
+        """(id, version, rows, e, w, g) of each document with words; g is null where its class has no link."""
+        named = self.entries.select("k1", "k2", "e", "w").join(self.groups, "e", "left")
+        return self.members.join(named, ["k1", "k2"]).select("id", "version", "rows", "e", "w", "g")
+
+
+def near_links(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, group_id, n_links) for each document, also those without words.
+
+    ``n_links`` counts the other documents with at least ``threshold`` of its
+    signature's coordinates, those of equal signature among them; ``group_id`` is
+    the smallest id of all that such links lead to, its own where there are none.
     """
-    pairs = Written(near_pairs(docs, threshold), "pairs").df
-    groups = Written(components(pairs, "doc_a", "doc_b").select(F.col("node").alias("doc_a"), F.col("component").alias("group_id")), "groups")
-    return pairs.join(groups.side(), "doc_a").select("doc_a", "doc_b", "matches", "group_id")
+    near = Near(docs, threshold, id_col, text_col)
+    placed = Written(near.documents(), "placed").df
+    own = F.when(F.col("g").isNotNull(), F.struct(F.lit(True).alias("linked"), F.col("g").alias("n"))).otherwise(F.struct(F.lit(False).alias("linked"), F.col("e").alias("n")))
+    names = placed.groupBy(own.alias("own")).agg(F.min("id").alias("group_id"))
+    counted = placed.select("id", "e", "w", own.alias("own")).join(names, "own").join(near.links(), "e", "left")
+    found = counted.select(F.col("id").alias("doc_id"), "group_id", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).cast("long").alias("n_links"))
+    text = F.col(f"`{text_col}`").cast("string")
+    every = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("version")).distinct()
+    wordless = every.alias("x").join(near.members.select(F.col("id").alias("_i"), F.col("version").alias("_v")), F.col("id").eqNullSafe(F.col("_i")) & (F.col("version") == F.col("_v")), "left_anti")
+    return found.unionByName(wordless.select(F.col("id").alias("doc_id"), F.col("id").alias("group_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those of a group that aren't its smallest id. Rows that repeat a kept id are all kept."""
-    gone = Written(near_groups(docs, threshold, id_col, text_col).filter("doc_id <> group_id").select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(gone.side(), F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    """One row of each group: of its smallest id (null last), then text hash; of rows that repeat both, one.
+
+    Rows without words stay as they are. Only rows that repeat an id and a text
+    are shuffled; which of them stays is decided by a hash of all their columns.
+    """
+    placed = Written(Near(docs, threshold, id_col, text_col).documents(), "placed").df
+    several = placed.filter("g IS NOT NULL OR w > 1").withColumn("own", F.when(F.col("g").isNull(), F.struct(F.lit(0).alias("x"), F.col("e").alias("n"))).otherwise(F.struct(F.lit(1).alias("x"), F.col("g").alias("n"))))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "version")
+    first = several.groupBy("own").agg(F.min(rank).alias("first"))
+    gone = Written(several.join(first, "own").filter(~F.col("first").eqNullSafe(rank)).select(F.col("id").alias("_gi"), F.col("version").alias("_gv")), "gone")
+    again = Written(placed.filter("rows > 1").select(F.col("id").alias("_ri"), F.col("version").alias("_rv")), "again")
+    names = docs.columns
+    plain = [F.col(f"`{c}`") for c in names]
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = docs.select(F.struct(*plain).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("_version"), F.xxhash64(*hashed).alias("_mark"))
+    kept = rows.join(gone.side(), F.col("_id").eqNullSafe(F.col("_gi")) & (F.col("_version") == F.col("_gv")), "left_anti")
+    if not again.df.isEmpty():
+        on = F.col("_id").eqNullSafe(F.col("_ri")) & (F.col("_version") == F.col("_rv"))
+        single = kept.join(again.side(), on, "left_anti").select("_row")
+        kept = single.unionByName(kept.join(again.side(), on, "left_semi").groupBy("_id", "_version").agg(F.min_by("_row", "_mark").alias("_row")).select("_row"))
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in names])

@@ -21,7 +21,7 @@ def queries() -> dict:
         "op6_recompression_repeats": lambda s, d: recompression.repeats(_table(s, d, "documents")),
         "op7_flow_resharding": lambda s, d: resharding.reshard(_table(s, d, "documents")),
         "op8_quality_rules": lambda s, d: quality_rules.measure(_table(s, d, "documents")),
-        "op10_minhash_pairs": lambda s, d: minhash_dedup.grouped_pairs(_table(s, d, "documents")),
+        "op10_minhash_groups": lambda s, d: minhash_dedup.near_links(_table(s, d, "documents")),
         "op9_preference_pairs": lambda s, d: chat_pairs.format_conversations(_table(s, d, "conversations")),
     }
 

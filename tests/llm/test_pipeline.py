@@ -9,7 +9,7 @@ import corpus_pipeline as cp
 from spanweave.llm import decontamination as dec
 from spanweave.llm import mixing, quality_rules, resharding
 from tests.llm.test_mixing_sharding import _expected
-from tests.llm.test_search import _matches_by_force, _pairs_by_force
+from tests.llm.test_search import _links_by_force, _matches_by_force
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -32,17 +32,8 @@ def _fixture():
 
 def _by_force(rows, bench):
     """doc_id -> copies, by plain Python over what quality rules keep."""
-    group = {r[0]: r[0] for r in rows}
-
-    def root(x):
-        while group[x] != x:
-            x = group[x]
-        return x
-
-    for a, b in _pairs_by_force([(r[0], r[1]) for r in rows]):
-        a, b = sorted((root(a), root(b)))
-        group[b] = a
-    rows = [r for r in rows if root(r[0]) == r[0]]
+    groups = _links_by_force([(r[0], r[1]) for r in rows])
+    rows = [r for r in rows if groups[r[0], r[1] or ""][0] == r[0]]
     hit = {i for i, *_ in _matches_by_force([(r[0], r[1]) for r in rows], bench)}
     rows = [r for r in rows if r[0] not in hit]
     copies = defaultdict(int)

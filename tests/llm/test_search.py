@@ -70,38 +70,41 @@ def test_a_benchmark_item_in_chinese_is_found(spark):
 # --- near duplicates
 
 
-def _signatures(docs):
-    out = {}
-    for i, t in docs:
-        if i is None:
-            continue
-        for s in scans(pa.array([t], pa.string())):
-            rows, sig = mh.signatures_of(s.hashes, s.offsets)
+def _links_by_force(docs, threshold=mh.THRESHOLD):
+    """(id, text) -> (group id, links), comparing every signature with every other."""
+    every = sorted({(i, t or "") for i, t in docs}, key=lambda d: (d[0] is None, d[0] or 0, d[1]))
+    sig = {}
+    for d in every:
+        for s in scans(pa.array([d[1]], pa.string())):
+            rows, own = mh.signatures_of(s.hashes, s.offsets)
             if len(rows):
-                out[i] = sig[0]
-    return out
-
-
-def _pairs_by_force(docs, threshold=mh.THRESHOLD):
-    sig, t = _signatures(docs), mh.least_matches(threshold)
-    first, out = {}, {}
-    for i in sorted(sig):
-        rep = first.setdefault(sig[i].tobytes(), i)
-        if rep != i:
-            out[rep, i] = mh.COORDINATES
-    reps = sorted(first.values())
-    for k, a in enumerate(reps):
-        for b in reps[k + 1 :]:
-            n = int((sig[a] == sig[b]).sum())
-            if n >= t:
-                out[a, b] = n
-    return out
+                sig[d] = own[0]
+    t = mh.least_matches(threshold)
+    near = {d: {o for o in sig if o != d and int((sig[d] == sig[o]).sum()) >= t} for d in sig}
+    group = {}
+    for d in every:
+        reach, todo = {d}, [d]
+        while todo:
+            for o in near.get(todo.pop(), ()):
+                if o not in reach:
+                    reach.add(o)
+                    todo.append(o)
+        ids = [i for i, _ in reach if i is not None]
+        group[d] = (min(ids) if ids else None, len(near.get(d, ())), reach)
+    return group
+
+
+def _check_links(spark, docs, threshold=mh.THRESHOLD):
+    want = _links_by_force(docs, threshold)
+    got = mh.near_links(spark.createDataFrame(docs, DOC), threshold).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(((i, *want[i, t][:2]) for i, t in want), key=repr)
+    return want
 
 
 def _near_corpus():
     rng = random.Random(1)
     docs = []
-    for i in range(60):
+    for _ in range(60):
         base = _prose(rng, rng.choice([1, 2, 5, 40, 200]))
         docs.append((len(docs), " ".join(base)))
         for changes in rng.sample([0, 0, 1, 3, 8, 20], rng.randrange(4)):
@@ -112,21 +115,45 @@ def _near_corpus():
     return docs
 
 
-def test_pairs_equal_brute_force(spark):
-    docs = _near_corpus()
-    got = {(r.doc_a, r.doc_b): r.matches for r in mh.near_pairs(spark.createDataFrame(docs, DOC)).collect()}
-    assert got == _pairs_by_force(docs) and len(got) > 20
+@pytest.mark.parametrize("threshold", [mh.THRESHOLD, 0.1, 0.9, 1.0])
+def test_links_equal_brute_force(spark, threshold):
+    want = _check_links(spark, _near_corpus(), threshold)
+    assert sum(n for _, n, _ in want.values()) > 20
 
 
-@pytest.mark.parametrize("threshold", [0.1, 0.9, 1.0])
-def test_pairs_at_other_thresholds(spark, threshold):
-    docs = _near_corpus()[:80]
-    got = {(r.doc_a, r.doc_b): r.matches for r in mh.near_pairs(spark.createDataFrame(docs, DOC), threshold).collect()}
-    assert got == _pairs_by_force(docs, threshold)
+def test_links_of_groups_without_a_middle(spark):
+    """Chains that drift away from where they began, and copies edited so much that some pairs miss the threshold."""
+    rng = random.Random(8)
+    docs = []
+    for _ in range(6):
+        own = _prose(rng, 60)
+        for _ in range(25):
+            docs.append((len(docs), " ".join(own)))
+            own = list(own)
+            for _ in range(rng.randrange(1, 4)):
+                own[rng.randrange(60)] = f"y{rng.random()}"
+    base = _prose(rng, 120)
+    for _ in range(80):
+        docs.append((len(docs), " ".join(f"z{rng.random()}" if rng.random() < 0.09 else v for v in base)))
+    want = _check_links(spark, docs)
+    counts = [n for _, n, _ in want.values()]
+    assert max(counts) > 10 and any(n + 1 < len(g) for _, n, g in want.values()) and len(set(counts)) > 10
+
+
+def test_a_list_whose_ends_are_linked_to_none_of_the_rest(spark):
+    """The star's ends share a list with the others but no link; the others still meet."""
+    rng = random.Random(9)
+    docs = []
+    for _ in range(40):
+        a, b = _prose(rng, 70), _prose(rng, 70)
+        for text in (a, b[:20] + a[:50], b[:50] + a[50:], b, a[:60] + b[60:]):
+            docs.append((len(docs), " ".join(text)))
+    _check_links(spark, docs)
+    _check_links(spark, docs, 0.3)
 
 
 def test_recall_of_true_overlap(spark, sf_dir):
-    """Nine in ten of the pairs whose runs of words overlap by 70 % or more end in one group."""
+    """Nine in ten of the pairs whose runs of words overlap by 70 % or more end in one group, and no group is of unlike texts."""
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     runs = {}
     for r in df.select("doc_id", "text").collect():
@@ -134,49 +161,45 @@ def test_recall_of_true_overlap(spark, sf_dir):
         if w:
             runs[r.doc_id] = {tuple(w[k : k + mh.RUN]) for k in range(max(1, len(w) - mh.RUN + 1))}
     ids = sorted(runs)
-    true = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(runs[a] & runs[b]) >= 0.7 * len(runs[a] | runs[b])]
-    group = {r.doc_id: r.group_id for r in mh.near_groups(df).collect()}
-    assert true and sum(group.get(a, -1) == group.get(b, -2) for a, b in true) >= 0.9 * len(true)
-    for r in mh.near_pairs(df).collect():
-        assert len(runs[r.doc_a] & runs[r.doc_b]) > 0.3 * len(runs[r.doc_a] | runs[r.doc_b])
+
+    def overlap(a, b):
+        return len(runs[a] & runs[b]) / len(runs[a] | runs[b])
+
+    true = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if overlap(a, b) >= 0.7]
+    group = {r.doc_id: r.group_id for r in mh.near_links(df).collect()}
+    assert true and sum(group[a] == group[b] for a, b in true) >= 0.9 * len(true)
+    for a in ids:
+        assert group[a] == a or any(group[b] == group[a] and b != a and overlap(a, b) > 0.3 for b in ids)
 
 
 def test_near_odd_rows(spark):
     text = " ".join(_prose(random.Random(2), 60))
-    rows = [(1, None), (2, ""), (3, " .,; "), (None, text), (4, text), (4, text), (5, text), (6, "one"), (7, "one"), (8, text * 3000)]
-    docs = spark.createDataFrame([(*r, 5, "x") for r in rows], DOC + ", a int, sig string")
-    got = {(r.doc_a, r.doc_b) for r in mh.near_pairs(docs).collect()}
-    assert {(4, 5), (6, 7)} <= got and not any({1, 2, 3, None} & set(p) for p in got)
+    rows = [(1, None), (2, ""), (2, ""), (3, " .,; "), (None, text), (None, None), (4, text), (4, text), (5, text), (5, "another text"), (6, "one"), (7, "one"), (8, text * 3000), (None, "lone"), (None, "lone"), (9, "Lone")]
+    docs = spark.createDataFrame([(*r, 5, "x", {"k": 1}) for r in rows], DOC + ", e int, sig string, g map<string,int>")
+    got = sorted((tuple(r) for r in mh.near_links(docs).collect()), key=repr)
+    want = _links_by_force(rows)
+    assert len(got) == len(set(rows)) and got == sorted([(i, *want[i, t or ""][:2]) for i, t in set(rows)], key=repr)
+    assert mh.near_links(docs).columns == ["doc_id", "group_id", "n_links"]
     kept = mh.one_of_each(docs)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(x for x in ids if x is not None and x < 8) == [1, 2, 3, 4, 4, 6] and None in ids
-    assert mh.near_pairs(docs.limit(0)).count() == 0 == mh.one_of_each(docs.limit(0)).count()
+    left = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert left == sorted([(1, None), (2, ""), (2, ""), (3, " .,; "), (None, None), (4, text), (5, "another text"), (6, "one"), (9, "Lone")], key=repr)  # 8 is the text of 4, again and again
+    assert mh.near_links(docs.limit(0)).count() == 0 == mh.one_of_each(docs.limit(0)).count()
     with pytest.raises(ValueError, match="threshold"):
-        mh.near_pairs(docs, 0)
+        mh.near_links(docs, 0)
 
 
-def test_grouped_pairs_name_each_pair_once(spark):
-    docs = spark.createDataFrame(_near_corpus(), DOC)
-    got = mh.grouped_pairs(docs).collect()
-    assert {(r.doc_a, r.doc_b, r.matches) for r in got} == {(r.doc_a, r.doc_b, r.matches) for r in mh.near_pairs(docs).collect()}
-    assert len(got) == len({(r.doc_a, r.doc_b) for r in got}) and all(r.group_id <= r.doc_a < r.doc_b for r in got)
+def test_one_of_each_leaves_one_of_each_group(spark):
+    docs = _near_corpus()
+    want = _links_by_force(docs)
+    left = {r.doc_id for r in mh.one_of_each(spark.createDataFrame(docs, DOC)).collect()}
+    assert left == {g for g, *_ in want.values()}
 
 
-def test_grouped_pairs_expand_to_all_pairs(spark):
-    docs = _near_corpus()
-    sig, t = _signatures(docs), mh.least_matches()
-    want = {(a, b): n for a in sig for b in sig if a < b and (n := int((sig[a] == sig[b]).sum())) >= t}
-    rows = mh.grouped_pairs(spark.createDataFrame(docs, DOC)).collect()
-    of = {r.doc_b: r.doc_a for r in rows if r.matches == mh.COORDINATES}
-    classes = defaultdict(list)
-    for i in sig:
-        classes[of.get(i, i)].append(i)
-    got = {(a, b): mh.COORDINATES for c in classes.values() for a in c for b in c if a < b}
-    for r in rows:
-        if r.matches < mh.COORDINATES:
-            got |= {(min(a, b), max(a, b)): r.matches for a in classes[r.doc_a] for b in classes[r.doc_b]}
-    assert got == want and len(want) > len(rows)
+def test_rows_that_repeat_differ_in_other_columns_only(spark):
+    docs = spark.createDataFrame([(1, "some text", k % 5) for k in range(50)] + [(2, "else", 0)], DOC + ", n int")
+    a, b = (sorted(tuple(r) for r in mh.one_of_each(d).collect()) for d in (docs, docs.repartition(7, "n")))
+    assert a == b and [r[0] for r in a] == [1, 2]
 
 
 # --- repeats
