@@ -58,6 +58,12 @@ def words(text: str | None) -> list[str]:
     return _PLAIN.findall(pc.utf8_lower(pa.scalar(text or "")).as_py())
 
 
+def sql_words(column: str) -> str:
+    """DuckDB text of the list of a column's words."""
+    pattern = _PLAIN.pattern
+    return f"regexp_extract_all(lower({column}), '{re.sub(r'.U([0-9a-f]{8})', lambda m: chr(92) + 'x{' + m[1].lstrip('0') + '}', pattern)}')"
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values so that every bit depends on every bit."""
     h = h ^ (h >> np.uint64(33))

@@ -205,28 +205,27 @@ def test_rows_that_repeat_differ_in_other_columns_only(spark):
 # --- repeats
 
 
-def _covered_by_force(docs, n=rec.LEAST):
-    """Places inside a run of n words that occurs before, in order of (id, place)."""
-    seen, out = {}, set()
+def _repeats_by_force(docs, n=rec.LEAST):
+    """Rows of the result: every run of n words whose first occurrence, in order of (id, place), is another, joined at equal shifts."""
+    first, rows = {}, []
     for i, t in sorted(docs):
         w = words(t)
         for p in range(len(w) - n + 1):
-            key = tuple(w[p : p + n])
-            if key in seen:
-                out |= {(i, q) for q in range(p, p + n)}
-            seen.setdefault(key, (i, p))
-    return out
-
-
-def _covered(found):
-    return {(r.doc_id, q) for r in found for q in range(r.start, r.start + r.n_words)}
-
-
-def _check_places(docs, found):
-    w = {i: words(t) for i, t in docs if t}
-    for r in found:
-        assert r.n_words >= rec.LEAST and (r.src_doc_id, r.src_start) < (r.doc_id, r.start)
-        assert w[r.doc_id][r.start : r.start + r.n_words] == w[r.src_doc_id][r.src_start : r.src_start + r.n_words]
+            src = first.setdefault(tuple(w[p : p + n]), (i, p))
+            if src == (i, p):
+                continue
+            if rows and rows[-1][0] == i and rows[-1][1] + rows[-1][2] - n + 1 == p and (rows[-1][3], rows[-1][4] + rows[-1][2] - n + 1) == src:
+                rows[-1][2] += 1
+            else:
+                rows.append([i, p, n, *src])
+    return sorted(map(tuple, rows))
+
+
+def _check_repeats(spark, docs):
+    found = sorted(tuple(r) for r in rec.repeats(spark.createDataFrame(docs, DOC)).collect())
+    want = _repeats_by_force(docs)
+    assert found == want
+    return want
 
 
 def _repeat_corpus(seed=3):
@@ -245,20 +244,7 @@ def _repeat_corpus(seed=3):
 
 
 def test_repeats_equal_brute_force(spark):
-    docs = _repeat_corpus()
-    found = rec.repeats(spark.createDataFrame(docs, DOC)).collect()
-    _check_places(docs, found)
-    want = _covered_by_force(docs)
-    assert len(want) > 1000 and _covered(found) == want
-
-
-def test_repeats_on_the_test_table(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    docs = [tuple(r) for r in df.collect()]
-    found = rec.repeats(df).collect()
-    _check_places(docs, found)
-    want, got = _covered_by_force([d for d in docs if d[1]]), _covered(found)
-    assert want and got <= want and len(got) >= 0.98 * len(want)
+    assert len(_check_repeats(spark, _repeat_corpus())) > 100
 
 
 def test_repeats_odd_rows(spark):
@@ -269,6 +255,15 @@ def test_repeats_odd_rows(spark):
     got = sorted(tuple(r) for r in rec.repeats(docs).collect())
     assert got == [(4, 1, 80, 3, 0), (5, 60_000, 80, 3, 0)]
     assert rec.repeats(docs.limit(0)).count() == 0
+    texts = spark.createDataFrame([(str(i), t) for i, t in rows if i in (3, 5)] + [("10", p)], "doc_id string, text string")
+    assert sorted(tuple(r) for r in rec.repeats(texts).collect()) == [("3", 0, 80, "10", 0), ("5", 60_000, 80, "10", 0)]
+
+
+def test_repeats_between_texts_of_one_id(spark):
+    p = " ".join(_prose(random.Random(6), 80))
+    docs = spark.createDataFrame([(1, p), (1, p + " more"), (2, "lead " + p)], DOC)
+    got = sorted(tuple(r) for r in rec.repeats(docs).collect())
+    assert got == [(1, 0, 80, 1, 0), (2, 1, 80, 1, 0)]
 
 
 def test_repeats_whose_parts_occur_before_elsewhere(spark):
@@ -279,10 +274,15 @@ def test_repeats_whose_parts_occur_before_elsewhere(spark):
         p = _prose(rng, 60)
         for part in (p[:40], p[20:], p, p):
             docs.append((len(docs), " ".join(_prose(rng, 20) + part + _prose(rng, 20))))
-    found = rec.repeats(spark.createDataFrame(docs, DOC)).collect()
-    _check_places(docs, found)
-    want = _covered_by_force(docs)
-    assert len(want) >= 30 * 60 and _covered(found) == want
+    assert len(_check_repeats(spark, docs)) == 30
+
+
+def test_pieces_of_thirty_words_before_a_passage_of_a_hundred_and_twenty(spark):
+    rng = random.Random(13)
+    p = _prose(rng, 120)
+    docs = [(k, " ".join(_prose(rng, 15) + p[10 * k : 10 * k + 30] + _prose(rng, 15))) for k in range(10)]
+    docs += [(1000, " ".join(p)), (1001, " ".join(_prose(rng, 30) + p))]
+    assert _check_repeats(spark, docs) == [(1001, 30, 120, 1000, 0)]
 
 
 def test_repeats_in_a_large_group_of_edited_copies(spark):
@@ -294,10 +294,16 @@ def test_repeats_in_a_large_group_of_edited_copies(spark):
         own = [f"{v}v{rng.randrange(3)}" if k % 24 == 0 else v for k, v in enumerate(base)]
         docs.append((i, " ".join(own)))
     docs += [(200 + i, docs[rng.randrange(100)][1]) for i in range(10)]
-    found = rec.repeats(spark.createDataFrame(docs, DOC)).collect()
-    _check_places(docs, found)
-    want = _covered_by_force(docs)
-    assert len(want) > 20_000 and _covered(found) == want
+    assert len(_check_repeats(spark, docs)) > 100
+
+
+def test_repeats_of_words_in_a_row(spark):
+    """Ends of one run and starts of another, runs of several words, and runs of every length around CUT and LEAST."""
+    docs = [(0, "x " * 30 + "y " * 40), (1, "a " + "x " * 25 + "y " * 60), (2, "p q r " * 40 + "end"), (3, "r " + "p q r " * 19), (4, "q r p " * 30)]
+    docs += [(10 + n, f"s{n} " + "z " * n + f"t{n}") for n in range(18, 56)]
+    docs += [(100 + n, " ".join(f"u{k}" for k in range(n)) + " m n" * n) for n in range(16, 30)]
+    docs += [(200 + n, "a b c d e f g h i j k l m " * n) for n in range(3, 9)]
+    assert len(_check_repeats(spark, docs)) > 60
 
 
 def test_equal_runs_get_equal_symbols():
