@@ -4,62 +4,106 @@ Executors post every occurrence of the benchmark's words (no other word can
 take part in a match) and write the postings as a table of segments: a segment
 covers some documents and holds, for each word, its places in order. How often
 each word occurs in the whole corpus then orders the words by rarity. Matching
-reads the segments where they are, without a shuffle:
-
-* phrase: ``PHRASE`` words of an item in a row (all of a shorter item). For each
-  run of the item the list of its rarest word, adjusted by its offset, gives the
-  alignments; the other words' adjusted lists are intersected with them.
-* near: at least ``NEAR`` of an item's distinct words within a window a quarter
-  longer than the item. Such a window must hold one of the item's
-  d - k + 1 rarest words, so only these words' places are starting points, and
-  they are dropped as soon as too many of the other words are absent.
+reads the segments where they are, without a shuffle. A segment looks up its own
+words among the words that items are searched by, so it visits those items only
+whose rare words it has:
+
+* phrase: ``phrase`` words of an item in a row (all of a shorter item). Each such
+  run is searched by its rarest word: its places, adjusted by the word's offset,
+  align the item, and the lists of the words beside it are intersected with
+  them, outwards, until one differs.
+* near: at least ``near`` of an item's distinct words within a window a quarter
+  longer than the item. Such a window must hold one of the item's d - k + 1
+  rarest words, so these are what it is searched by; the other words' lists are
+  asked from the rarest on, and a place is dropped as soon as too many of them
+  have none in reach.
 
 Both are exact. The benchmark goes to executors in parts of bounded size; more
-parts mean more passes, never a different result.
+parts mean more passes over the one index, never a different result. (Only for a
+benchmark of more than ``VOCABULARY`` distinct words each part has its own.)
 
 Defined cases: documents with a null id, null or empty texts match nothing;
-items with a null id or fewer than ``LEAST`` words are left out; an item of
-fewer than ``LEAST_NEAR`` distinct words matches as a phrase only; rows that
-share an id are one document and the best match counts; ties go to the earliest
+items with a null id or fewer than ``least`` words are left out, and an item of
+fewer than ``least_near`` distinct words matches as a phrase only (``left_out``
+counts both); rows that share an id are one document and the best match counts;
+very long texts are one segment each, matched whole; ties go to the earliest
 place; empty tables give an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanweave.llm.textscan import scans
 from spanweave.storage import Written
 
-PHRASE = 13
-NEAR = 0.75
-LEAST = 5
-LEAST_NEAR = 8
-#: Bytes of benchmark text that are sent to executors at once.
-PART_BYTES = 32 << 20
+#: Bytes of benchmark text that are sent to executors at once, and distinct words of one index.
+PART_BYTES = 16 << 20
+VOCABULARY = 1 << 23
+#: Places that are looked at together.
+_AT_ONCE = 1 << 20
+_NONE = np.zeros(0, np.int64)
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Words in a row of a phrase, the share of distinct words of a near match, and the least words of items of either kind."""
 
+    phrase: int = 13
+    near: float = 0.75
+    least: int = 5
+    least_near: int = 8
 
-def window(m: int) -> int:
-    return m + max(4, m // 4)
 
+def window(m):
+    return m + np.maximum(4, m // 4)
 
-def _items(bench: DataFrame, id_col: str, text_col: str) -> list[tuple[list, list[np.ndarray]]]:
-    """Parts of (item ids, word hashes of each)."""
-    base = bench.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL").distinct()
-    total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = total // PART_BYTES + 1
+
+def _texts(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return table.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("id IS NOT NULL AND text <> ''")
+
+
+def _parts(bench: DataFrame) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """(item ids, word hashes of each) of parts of bounded size."""
+    base = bench.distinct()
+    n = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // PART_BYTES + 1
     for p in range(n):
         part = base.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == p).toArrow()  # bounded by PART_BYTES
-        ids, toks = part.column(0).to_pylist(), []
-        for s in scans(part.column(1)):
-            toks += [s.hashes[a:b] for a, b in zip(s.offsets[:-1], s.offsets[1:])]
-        yield [i for i, t in zip(ids, toks) if len(t) >= LEAST], [t for t in toks if len(t) >= LEAST]
+        toks = [s.hashes[a:b] for s in scans(part.column(1)) for a, b in zip(s.offsets[:-1], s.offsets[1:])]
+        yield part.column(0).combine_chunks(), toks
+
+
+def _vocabulary(bench: DataFrame) -> Written:
+    """The distinct words of the benchmark."""
+
+    def run(batches):
+        for b in batches:
+            for s in scans(b.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(s.hashes).view(np.int64))], names=["h"])
+
+    return Written(bench.mapInArrow(run, "h long").distinct(), "vocabulary")
+
+
+def left_out(bench: DataFrame, rules: Rules = Rules(), item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(too_short, phrase_only, items): how many items match in no way and in one way only."""
+
+    def run(batches):
+        for b in batches:
+            for s in scans(b.column(1)):
+                m = np.diff(s.offsets)
+                d = np.array([len(np.unique(s.hashes[x:y])) for x, y in zip(s.offsets[:-1], s.offsets[1:])])
+                short = m < rules.least
+                yield pa.RecordBatch.from_arrays([pa.array([int(short.sum())]), pa.array([int((~short & (d < rules.least_near)).sum())]), pa.array([len(m)])], names=["a", "b", "n"])
+
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return _texts(bench, item_col, text_col).mapInArrow(run, "a long, b long, n long").agg(total("a").alias("too_short"), total("b").alias("phrase_only"), total("n").alias("items"))
 
 
 def _index_schema(id_type: T.DataType) -> T.StructType:
@@ -85,7 +129,7 @@ def _segment(s, vocab: np.ndarray):
 
 def build_index(docs: DataFrame, vocab: np.ndarray, id_col: str, text_col: str) -> Written:
     """The written segments: for each, its documents and the places of every word of ``vocab`` in them."""
-    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("id IS NOT NULL AND text <> ''")
+    base = _texts(docs, id_col, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches):
@@ -102,130 +146,160 @@ def build_index(docs: DataFrame, vocab: np.ndarray, id_col: str, text_col: str)
 
 
 class Segment:
-    """Places of words in some documents."""
+    """Places of words in some documents: the list of terms[i] is places[starts[i] : ends[i]]."""
 
     def __init__(self, bases, terms, counts, gaps):
-        self.bases = bases
-        ends = np.cumsum(counts)
+        self.bases, self.terms = bases, terms
+        self.ends = np.cumsum(counts)
+        self.starts = self.ends - counts
         total = np.cumsum(gaps, dtype=np.int64)
-        starts = ends - counts
-        places = total - np.repeat(np.where(starts > 0, total[starts - 1], 0), counts)
-        self.lists = {t: places[a:b] for t, a, b in zip(terms.tolist(), starts.tolist(), ends.tolist())}
-
-    def places(self, term: int) -> np.ndarray:
-        return self.lists.get(term, _NONE)
+        self.places = total - np.repeat(np.where(self.starts > 0, total[self.starts - 1], 0), counts)
+        self.size = int(bases[-1]) + 1
+        self.keys = np.repeat(terms, counts) * self.size + self.places
+        self.words = np.full(self.size, -1, np.int64)
+        self.words[self.places] = np.repeat(terms, counts)
 
     def doc(self, place: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bases, place, side="right") - 1
 
-
-_NONE = np.zeros(0, np.int64)
-
-
-def _within(sorted_list: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(sorted_list):
-        return np.zeros(len(x), bool)
-    at = np.searchsorted(sorted_list, x)
-    at[at == len(sorted_list)] = 0
-    return sorted_list[at] == x
-
-
-class Item:
-    """What is looked for, with its words in order of rarity."""
-
-    def __init__(self, words: np.ndarray, freq: np.ndarray):
-        self.words = words.tolist()
-        m = len(words)
-        self.n = min(PHRASE, m)
-        rank = freq[words]
-        anchors = {o + int(np.argmin(rank[o : o + self.n])) for o in range(m - self.n + 1)}
-        self.anchors = sorted(anchors)
-        self.order = np.argsort(rank, kind="stable").tolist()
-        distinct = np.unique(words)
-        self.distinct = distinct[np.argsort(freq[distinct], kind="stable")].tolist()
-        d = len(self.distinct)
-        self.k = math.ceil(NEAR * d - 1e-9) if d >= LEAST_NEAR else d + 1
-        self.w = window(m)
-
-    def phrases(self, seg: Segment) -> dict[int, tuple[int, int]]:
-        """doc -> (words in a row, flat place): the longest run of at least n."""
-        m = len(self.words)
-        tops = [seg.places(self.words[r]) - r for r in self.anchors]
-        line = np.unique(np.concatenate(tops)) if tops else _NONE
-        if not len(line):
-            return {}
-        hit = np.zeros((len(line), m), bool)
-        alive = np.arange(len(line))
-        misses = np.zeros(len(line), np.int64)
-        room = m - self.n
-        for j in self.order:  # rarest first; an alignment ends when its misses leave no run of n
-            hit[alive, j] = _within(seg.places(self.words[j]), line[alive] + j)
-            misses[alive] += ~hit[alive, j]
-            alive = alive[misses[alive] <= room]
-            if not len(alive):
-                return {}
-        out: dict[int, tuple[int, int]] = {}
-        for i in alive.tolist():
-            start = int(line[i])
-            run = 0
-            prev = -1
-            for j in range(m):
-                doc = int(seg.doc(np.array([start + j]))[0])
-                run = (run + 1 if doc == prev else 1) if hit[i, j] else 0
-                prev = doc
-                if run >= self.n and (doc not in out or (run, -(start + j - run + 1)) > (out[doc][0], -out[doc][1])):
-                    out[doc] = (run, start + j - run + 1)
-        return out
-
-    def near(self, seg: Segment) -> dict[int, tuple[int, int]]:
-        """doc -> (distinct words, flat place of the window's first): the best window of at least k."""
-        d = len(self.distinct)
-        if self.k > d:
-            return {}
-        tops = [seg.places(t) for t in self.distinct[: d - self.k + 1]]
-        at = np.unique(np.concatenate(tops))
-        if not len(at):
-            return {}
-        doc = seg.doc(at)
-        lo = np.maximum(at - self.w + 1, seg.bases[doc])
-        hi = np.minimum(at + self.w, seg.bases[doc + 1] - 1)  # one place after the row's last word is no word
-        absent = np.zeros(len(at), np.int64)
-        for t in self.distinct:
-            p = seg.places(t)
-            absent += np.searchsorted(p, lo) == np.searchsorted(p, hi)
-            ok = absent <= d - self.k
-            if not ok.all():
-                at, doc, lo, hi, absent = at[ok], doc[ok], lo[ok], hi[ok], absent[ok]
-            if not len(at):
-                return {}
-        out: dict[int, tuple[int, int]] = {}
-        for which in np.unique(doc).tolist():
-            a, b = int(seg.bases[which]), int(seg.bases[which + 1])
-            merged = []
-            for x, y in zip(lo[doc == which].tolist(), hi[doc == which].tolist()):
-                if merged and x <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], y)
-                else:
-                    merged.append([x, y])
-            for x, y in merged:
-                pairs = []
-                for k, t in enumerate(self.distinct):
-                    p = seg.places(t)
-                    q = p[np.searchsorted(p, max(x, a)) : np.searchsorted(p, min(y, b))]
-                    pairs += [(v, k) for v in q.tolist()]
-                pairs.sort()
-                count = [0] * d
-                have = j = 0
-                for i, (p0, k0) in enumerate(pairs):
-                    while j < len(pairs) and pairs[j][0] < p0 + self.w:
-                        have += count[pairs[j][1]] == 0
-                        count[pairs[j][1]] += 1
-                        j += 1
-                    if have >= self.k and (which not in out or have > out[which][0]):
-                        out[which] = (have, p0)
-                    count[k0] -= 1
-                    have -= count[k0] == 0
-        return out
+    def word(self, place: np.ndarray) -> np.ndarray:
+        inside = (place >= 0) & (place < self.size)
+        return np.where(inside, self.words[np.where(inside, place, 0)], -1)
+
+    def between(self, term: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether the term's list has a place from lo to before hi."""
+        return np.searchsorted(self.keys, term * self.size + lo) < np.searchsorted(self.keys, term * self.size + hi)
+
+    def list(self, term: int) -> np.ndarray:
+        i = int(np.searchsorted(self.terms, term))
+        return self.places[self.starts[i] : self.ends[i]] if i < len(self.terms) and self.terms[i] == term else _NONE
+
+    def meet(self, terms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(index in the sorted ``terms``, place) for every place of every term, some at once. It costs what the segment holds of them."""
+        a, b = np.searchsorted(terms, self.terms), np.searchsorted(terms, self.terms, side="right")
+        hit = np.flatnonzero(b > a)
+        a, b, s, n = a[hit], b[hit], self.starts[hit], (self.ends - self.starts)[hit]
+        upto = np.cumsum((b - a) * n)
+        total = int(upto[-1]) if len(upto) else 0
+        for x in range(0, total, _AT_ONCE):
+            flat = np.arange(x, min(x + _AT_ONCE, total))
+            k = np.searchsorted(upto, flat, side="right")
+            i, j = np.divmod(flat - (upto[k] - (b[k] - a[k]) * n[k]), n[k])
+            yield a[k] + i, self.places[s[k] + j]
+
+
+def _ragged(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, place within it) of each item of lists of the given sizes."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+class Items:
+    """What is looked for, as flat arrays: each item's words, the words it is searched by, and its words by rarity."""
+
+    def __init__(self, toks: list[np.ndarray], freq: np.ndarray, rules: Rules):
+        self.m = np.array([len(t) for t in toks], np.int64)
+        self.words = np.concatenate(toks) if toks else _NONE
+        self.off = np.cumsum(self.m) - self.m
+        self.n = np.minimum(rules.phrase, self.m)
+        # anchors: the rarest word of each run of n, the first of equally rare ones
+        rank = np.append(freq[self.words], np.iinfo(np.int64).max)
+        item, o = _ragged(self.m - self.n + 1)
+        at = []
+        for x in range(0, len(item), _AT_ONCE):
+            i, own = item[x : x + _AT_ONCE], o[x : x + _AT_ONCE]
+            j = np.arange(rules.phrase)[None, :]
+            cells = np.where(j < self.n[i][:, None], (self.off[i] + own)[:, None] + j, len(rank) - 1)
+            at.append(self.off[i] + own + rank[cells].argmin(1))
+        at = np.unique(np.concatenate(at)) if at else _NONE
+        item = np.searchsorted(self.off, at, side="right") - 1
+        order = np.argsort(self.words[at], kind="stable")
+        self.anchor_term, self.anchor_item, self.anchor_at = self.words[at][order], item[order], (at - self.off[item])[order]
+        # distinct words by rarity
+        item, _ = _ragged(self.m)
+        pairs = np.unique(np.stack([item, self.words], 1), axis=0) if len(item) else np.zeros((0, 2), np.int64)
+        pairs = pairs[np.lexsort((pairs[:, 1], freq[pairs[:, 1]], pairs[:, 0]))]
+        self.d = np.bincount(pairs[:, 0], minlength=len(toks))
+        self.rare, self.rare_off = pairs[:, 1], np.cumsum(self.d) - self.d
+        self.k = np.where(self.d >= rules.least_near, np.ceil(rules.near * self.d - 1e-9).astype(np.int64), self.d + 1)
+        self.w = window(self.m)
+        nth = np.arange(len(pairs)) - self.rare_off[pairs[:, 0]]
+        top = nth < (self.d - self.k + 1)[pairs[:, 0]]
+        order = np.argsort(pairs[top, 1], kind="stable")
+        self.top_term, self.top_item = pairs[top, 1][order], pairs[top, 0][order]
+
+    def phrases(self, seg: Segment) -> np.ndarray:
+        """Rows (item, doc, words in a row, flat place) of runs of at least n."""
+        out = [np.zeros((0, 4), np.int64)]
+        for pair, place in seg.meet(self.anchor_term):
+            item, at = self.anchor_item[pair], self.anchor_at[pair]
+            run, first = np.ones(len(item), np.int64), place.copy()
+            for step in (1, -1):
+                live, s = np.arange(len(item)), 0
+                while len(live):
+                    s += step
+                    i, j = item[live], at[live] + s
+                    inside = (j >= 0) & (j < self.m[i])
+                    same = inside & (seg.word(place[live] + s) == self.words[np.where(inside, self.off[i] + j, 0)])
+                    live = live[same]
+                    run[live] += 1
+                    if step < 0:
+                        first[live] -= 1
+                if step > 0:  # what is left of the word can add no more than its place in the item
+                    enough = run + at >= self.n[item]
+                    item, at, run, first, place = item[enough], at[enough], run[enough], first[enough], place[enough]
+            long = run >= self.n[item]
+            out.append(np.stack([item[long], seg.doc(first[long]), run[long], first[long]], 1))
+        return np.concatenate(out)
+
+    def near(self, seg: Segment) -> np.ndarray:
+        """Rows (item, doc, distinct words, flat place of the window's first) of the best window of at least k."""
+        found = []
+        for pair, at in seg.meet(self.top_term):
+            item, at = np.divmod(np.unique(self.top_item[pair] * seg.size + at), seg.size)
+            doc = seg.doc(at)
+            lo = np.maximum(at - self.w[item] + 1, seg.bases[doc])
+            hi = np.minimum(at + self.w[item], seg.bases[doc + 1] - 1)  # one place after the row's last word is no word
+            absent, s = np.zeros(len(at), np.int64), 0
+            while len(at) and s < self.d[item].max():
+                has = s < self.d[item]
+                term = self.rare[np.minimum(self.rare_off[item] + s, len(self.rare) - 1)]
+                absent += has & ~seg.between(term, lo, hi)
+                ok = absent <= (self.d - self.k)[item]
+                item, doc, lo, hi, absent, at = item[ok], doc[ok], lo[ok], hi[ok], absent[ok], at[ok]
+                s += 1
+            found.append(np.stack([item, doc, lo, hi], 1))
+        rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
+        cut = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1)) + 1
+        out = [r for part in np.split(rows, cut) if len(part) for r in self._best_window(seg, part)]
+        return np.array(out, np.int64).reshape(-1, 4)
+
+    def _best_window(self, seg: Segment, reach: np.ndarray) -> list[tuple[int, int, int, int]]:
+        item, doc = int(reach[0, 0]), int(reach[0, 1])
+        merged: list[list[int]] = []
+        for x, y in reach[:, 2:].tolist():
+            if merged and x <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], y)
+            else:
+                merged.append([x, y])
+        best, w, d = (0, 0), int(self.w[item]), int(self.d[item])
+        lists = [seg.list(int(t)) for t in self.rare[self.rare_off[item] : self.rare_off[item] + d]]
+        for x, y in merged:
+            own = [p[np.searchsorted(p, x) : np.searchsorted(p, y)] for p in lists]
+            at = np.concatenate(own)
+            order = np.argsort(at)
+            at, which = at[order].tolist(), np.repeat(np.arange(d), [len(p) for p in own])[order].tolist()
+            count, have, j = [0] * d, 0, 0
+            for p0, k0 in zip(at, which):
+                while j < len(at) and at[j] < p0 + w:
+                    have += count[which[j]] == 0
+                    count[which[j]] += 1
+                    j += 1
+                if have > best[0]:
+                    best = (have, p0)
+                count[k0] -= 1
+                have -= count[k0] == 0
+        return [(item, doc, *best)] if best[0] >= self.k[item] else []
 
 
 def _frequencies(index: Written, size: int) -> np.ndarray:
@@ -236,7 +310,7 @@ def _frequencies(index: Written, size: int) -> np.ndarray:
     return freq
 
 
-def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def matches(docs: DataFrame, bench: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, kind, n_words, at): the best phrase and the best near match of each document and item.
 
     ``n_words`` counts the words in a row (phrase) or the distinct words
@@ -246,42 +320,58 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
     id_type, item_type = docs.schema[id_col].dataType, bench.schema[item_col].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("item_id", item_type), T.StructField("kind", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("at", T.LongType())])
     found = spark.createDataFrame([], schema)
-    for ids, toks in _items(bench, item_col, item_text_col):
-        if not ids:
+    items = Written(_texts(bench, item_col, item_text_col), "items").df
+    known, index = _vocabulary(items), None
+    if known.df.count() <= VOCABULARY:
+        vocab = np.sort(known.df.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))  # bounded by VOCABULARY
+        if len(vocab):
+            index = build_index(docs, vocab, id_col, text_col)
+            freq = _frequencies(index, len(vocab))
+    for ids, toks in _parts(items):
+        keep = [i for i, t in enumerate(toks) if len(t) >= rules.least]
+        if not keep:
             continue
-        vocab = np.unique(np.concatenate(toks))
-        index = build_index(docs, vocab, id_col, text_col)
-        freq = _frequencies(index, len(vocab))
-        sent = spark.sparkContext.broadcast((ids, [np.searchsorted(vocab, t) for t in toks], freq))
-        found = found.unionByName(index.df.mapInArrow(_matcher(sent, schema), schema))
+        own = index
+        if own is None:
+            vocab = np.unique(np.concatenate(toks))
+            own = build_index(docs, vocab, id_col, text_col)
+            freq = _frequencies(own, len(vocab))
+        sent = spark.sparkContext.broadcast((ids.take(pa.array(keep)), Items([np.searchsorted(vocab, toks[i]) for i in keep], freq, rules).__dict__))
+        found = found.unionByName(own.df.mapInArrow(_matcher(sent, schema), schema))
     best = F.max_by(F.struct("n_words", "at"), F.struct("n_words", -F.col("at"))).alias("m")
     return found.groupBy("doc_id", "item_id", "kind").agg(best).select("doc_id", "item_id", "kind", "m.n_words", "m.at")
 
 
 def _matcher(sent, schema: T.StructType):
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema)
-
     def run(batches):
-        ids, words, freq = sent.value
-        items = [Item(w, freq) for w in words]
+        ids, arrays = sent.value
+        items = Items.__new__(Items)
+        items.__dict__.update(arrays)
         for b in batches:
             for r in range(b.num_rows):
                 doc_ids = b.column(0)[r].values
                 seg = Segment(*(b.column(c)[r].values.to_numpy().astype(np.int64) for c in range(1, 5)))
-                out = []
-                for item_id, item in zip(ids, items):
-                    for kind, hits in (("phrase", item.phrases(seg)), ("near", item.near(seg))):
-                        out += [(d, item_id, kind, n, p - int(seg.bases[d])) for d, (n, p) in hits.items()]
-                if out:
-                    d, i, k, n, p = zip(*out)
-                    yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(d)), pa.array(i, arrow.field(1).type), pa.array(k), pa.array(n, pa.int64()), pa.array(p, pa.int64())], schema=arrow)
+                for kind, rows in (("phrase", items.phrases(seg)), ("near", items.near(seg))):
+                    if not len(rows):
+                        continue
+                    rows = rows[np.lexsort((rows[:, 3], -rows[:, 2], rows[:, 1], rows[:, 0]))]
+                    first = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))  # the longest, then earliest, of each document
+                    item, doc, n, at = rows[first].T
+                    yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(doc)), ids.take(pa.array(item)), pa.array([kind] * len(n)), pa.array(n), pa.array(at - seg.bases[doc])], names=schema.names)
 
     return run
 
 
-def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that match no item, with their columns."""
-    hit = Written(matches(docs, bench, id_col, text_col).select(F.col("doc_id").alias("_hit")).distinct(), "leaks")
-    return docs.join(hit.side(), F.col(f"`{id_col}`") == F.col("_hit"), "left_anti")
+def _key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    return F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+
+
+def clean(docs: DataFrame, bench: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that match no item, with their columns. A document is an id and a text here, and a null id is as good as any."""
+    own, version = _key(id_col, text_col)
+    name = F.to_json(F.struct(own.cast("string").alias("i"), version.alias("v")))
+    named = docs.select(name.alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    hit = Written(matches(named, bench, rules).select(F.col("doc_id").alias("_hit")).distinct(), "leaks")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), name.alias("_name"))
+    kept = whole.join(hit.side(), F.col("_name") == F.col("_hit"), "left_anti")
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

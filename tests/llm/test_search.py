@@ -321,7 +321,7 @@ def test_equal_runs_get_equal_symbols():
 # --- benchmark matches
 
 
-def _matches_by_force(docs, bench):
+def _matches_by_force(docs, bench, rules=dec.Rules()):
     by = defaultdict(list)
     for i, t in docs:
         if i is not None and t:
@@ -333,12 +333,12 @@ def _matches_by_force(docs, bench):
             out[key] = (n, at)
 
     for item, text in bench:
-        if item is None or text is None or len(words(text)) < dec.LEAST:
+        if item is None or text is None or len(words(text)) < rules.least:
             continue
         b = words(text)
         m, d = len(b), set(b)
-        least, w = min(dec.PHRASE, m), m + max(4, m // 4)
-        k = math.ceil(dec.NEAR * len(d) - 1e-9)
+        least, w = min(rules.phrase, m), m + max(4, m // 4)
+        k = math.ceil(rules.near * len(d) - 1e-9)
         for i, versions in by.items():
             for x in versions:
                 run = [0] * (m + 1)
@@ -347,7 +347,7 @@ def _matches_by_force(docs, bench):
                     for n in run:
                         if n >= least:
                             offer((i, item, "phrase"), n, p - n + 1)
-                if len(d) >= dec.LEAST_NEAR:
+                if len(d) >= rules.least_near:
                     for p, v in enumerate(x):
                         if v in d and (n := len(d.intersection(x[p : p + w]))) >= k:
                             offer((i, item, "near"), n, p)
@@ -386,12 +386,36 @@ def test_matches_equal_brute_force(spark):
     assert got == want and {k for *_, k in want} == {"phrase", "near"}
 
 
-def test_matches_do_not_depend_on_the_parts(spark, monkeypatch):
+@pytest.mark.parametrize("rules", [dec.Rules(phrase=4, least=1, least_near=1), dec.Rules(phrase=20, near=1.0), dec.Rules(near=0.4, least=9)])
+def test_matches_under_other_rules(spark, rules):
     docs, bench = _bench_corpus()
-    monkeypatch.setattr(dec, "PART_BYTES", 1000)
+    docs = docs[:40]
+    assert _found(dec.matches(spark.createDataFrame(docs, DOC), spark.createDataFrame(bench, BENCH), rules)) == _matches_by_force(docs, bench, rules)
+
+
+@pytest.mark.parametrize("vocabulary", [1 << 23, 10])
+def test_matches_do_not_depend_on_the_parts(spark, monkeypatch, vocabulary):
+    docs, bench = _bench_corpus()
+    for name, value in (("PART_BYTES", 1000), ("_AT_ONCE", 50), ("VOCABULARY", vocabulary)):
+        monkeypatch.setattr(dec, name, value)
     assert _found(dec.matches(spark.createDataFrame(docs, DOC), spark.createDataFrame(bench, BENCH))) == _matches_by_force(docs, bench)
 
 
+def test_items_that_are_left_out_are_counted(spark):
+    bench = [(1, "a b c d"), (2, "a b c d a b c d"), (3, "a b c d e f g h i"), (None, "x"), (4, None)]
+    (r,) = dec.left_out(spark.createDataFrame(bench, BENCH)).collect()
+    assert tuple(r) == (1, 1, 3)
+
+
+def test_a_segment_visits_only_items_whose_rare_words_it_has():
+    """Items without a word in the segment cost nothing: no place of theirs is looked at."""
+    toks = [np.arange(20 * k, 20 * k + 20) for k in range(500)]
+    items = dec.Items(toks, np.ones(10_000, np.int64), dec.Rules())
+    seg = dec.Segment(np.array([0, 21]), np.arange(60, 80), np.ones(20, np.int64), np.arange(20))
+    looked = sum(len(p) for terms in (items.anchor_term, items.top_term) for p, _ in seg.meet(terms))
+    assert looked < 20 and items.phrases(seg).tolist()[0][:3] == [3, 0, 20] and items.near(seg).tolist() == [[3, 0, 20, 0]]
+
+
 def test_matches_odd_rows(spark):
     p = " ".join(f"b{k}" for k in range(20))
     rows = [(None, p), (1, None), (2, ""), (3, p + " x " + p), (3, p), (4, "z " * 100_000 + p), (5, "clean text"), (5, "clean text")]
@@ -401,6 +425,6 @@ def test_matches_odd_rows(spark):
     assert got == {(3, 1, "phrase"): (20, 0), (3, 1, "near"): (20, 0), (4, 1, "phrase"): (20, 100_000), (4, 1, "near"): (20, 100_000)}
     kept = dec.clean(docs, bench)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 2, 5, 5, None]
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 2, 5, 5]  # the null id holds the item too
     assert dec.matches(docs.limit(0), bench).count() == 0 == dec.matches(docs, bench.limit(0)).count()
     assert dec.clean(docs, bench.limit(0)).count() == len(rows)
