@@ -43,14 +43,20 @@ def _size(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(where).getLength())
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A path for a new table in the shared folder; ``release`` deletes what is written there."""
+    path = f"{shared_root(spark)}/spanweave-{uuid.uuid4().hex}-{name}"
+    _made.append((spark, path))
+    return path
+
+
 class Written:
     """A table in the shared folder: ``df`` reads it, ``nbytes`` is its size."""
 
     def __init__(self, df: DataFrame, name: str = "t"):
         self.spark = df.sparkSession
-        self.path = f"{shared_root(self.spark)}/spanweave-{uuid.uuid4().hex}-{name}"
+        self.path = folder(self.spark, name)
         df.write.option("compression", "zstd").parquet(self.path)
-        _made.append((self.spark, self.path))
         self.schema = df.schema
 
     @property
