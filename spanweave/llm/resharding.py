@@ -2,26 +2,39 @@
 
 Old shards hold blocks of documents; new shards have capacities. A byte that
 stays in the shard of the same number costs nothing, a byte that moves costs
-one. The flow is solved on the driver over one node per shard and one for the
-network between them, so its size is the number of shards, never of rows.
+one. The flow runs from the old shards to the new ones, straight or through one
+node for the network between them, so its size is the number of shards, never of
+rows. Its shortest augmenting paths are first those of cost 0, which share no
+arc but with themselves, then those of cost 1 through the network; once the
+first are saturated none becomes free again, so two passes over the shards give
+a flow of least cost in linear time.
+
 Blocks then follow the flow: within a shard, in order of block, the first bytes
 stay and the rest goes to the receiving shards in order. Whole blocks move, so
 a shard can exceed its capacity by less than one block for each shard it
-receives from or keeps from. Rows that stay are not shuffled.
+receives from or keeps from. What rows look up is the last block of each
+transfer, as many entries as there are transfers. Shards that gain or lose rows
+are written anew to the shared folder, one folder each; only rows that move are
+shuffled.
 
 Defined cases: a null shard name is the shard ''; null texts weigh nothing;
-null ids are hashed as ''; repeated rows weigh each and go together; an empty
-table gives an empty table; input columns named old_shard, new_shard or moved
-are replaced. Capacities that don't hold the total are refused.
+null ids are hashed as ''; rows that tie in their block, repeated rows among
+them, go together; a very long text is moved whole, with its block; a shard that
+loses all its rows has no folder and is named as emptied; an empty table gives
+an empty table; input columns named old_shard, new_shard or moved are replaced.
+Capacities that don't hold the total are refused.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from spanweave.storage import Written
+from spanweave.storage import Written, folder
 
 #: Blocks of each old shard. One block is what moves as a whole.
 BLOCKS = 4096
@@ -30,68 +43,23 @@ NEW_SHARDS = 24
 SLACK = 2
 
 
-def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
-    """Flow on each (from, to, capacity, cost) arc of a maximum flow of least cost, by successive shortest paths."""
-    to, cap, cost, out = [], [], [], [[] for _ in range(n)]
-    for u, v, c, w in arcs:
-        for a, b, x, y in ((u, v, c, w), (v, u, 0, -w)):
-            out[a].append(len(to))
-            to.append(b)
-            cap.append(x)
-            cost.append(y)
-    while True:
-        dist: list[float] = [float("inf")] * n
-        by = [-1] * n
-        dist[source] = 0
-        queue, queued = [source], [False] * n
-        at = 0
-        while at < len(queue):
-            u = queue[at]
-            at += 1
-            queued[u] = False
-            for e in out[u]:
-                if cap[e] > 0 and dist[u] + cost[e] < dist[to[e]]:
-                    dist[to[e]] = dist[u] + cost[e]
-                    by[to[e]] = e
-                    if not queued[to[e]]:
-                        queued[to[e]] = True
-                        queue.append(to[e])
-        if by[sink] < 0:
-            return [cap[2 * i + 1] for i in range(len(arcs))]
-        path, v = [], sink
-        while v != source:
-            path.append(by[v])
-            v = to[by[v] ^ 1]
-        push = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= push
-            cap[e ^ 1] += push
-
-
 def transfers(sizes: list[int], capacities: list[int]) -> list[tuple[int, int, int]]:
     """(old, new, bytes) that move the fewest bytes; old i and new i are the same shard."""
     if sum(sizes) > sum(capacities):
         raise ValueError(f"capacities hold {sum(capacities)} bytes of {sum(sizes)}")
     n, m = len(sizes), len(capacities)
-    s, t, hub = n + m, n + m + 1, n + m + 2
-    arcs = [(s, i, x, 0) for i, x in enumerate(sizes)] + [(n + j, t, x, 0) for j, x in enumerate(capacities)]
-    stay = len(arcs)
-    arcs += [(i, n + i, sizes[i], 0) for i in range(min(n, m))]
-    give = len(arcs)
-    arcs += [(i, hub, x, 1) for i, x in enumerate(sizes)]
-    take = len(arcs)
-    arcs += [(hub, n + j, x, 0) for j, x in enumerate(capacities)]
-    flow = min_cost_flow(n + m + 3, arcs, s, t)
-    plan = [(i, i, flow[stay + i]) for i in range(min(n, m)) if flow[stay + i]]
-    gives = [[i, flow[give + i]] for i in range(n) if flow[give + i]]
-    takes = [[j, flow[take + j]] for j in range(m) if flow[take + j]]
-    while gives:
-        x = min(gives[0][1], takes[0][1])
-        plan.append((gives[0][0], takes[0][0], x))
-        for side in (gives, takes):
-            side[0][1] -= x
-            if not side[0][1]:
-                side.pop(0)
+    stay = [min(sizes[i], capacities[i]) for i in range(min(n, m))] + [0] * max(0, n - m)
+    plan = [(i, i, x) for i, x in enumerate(stay) if x]
+    takes = ((j, c - (stay[j] if j < n else 0)) for j, c in enumerate(capacities))
+    j = room = 0
+    for i in range(n):
+        left = sizes[i] - stay[i]
+        while left:
+            while not room:
+                j, room = next(takes)
+            x = min(left, room)
+            plan.append((i, j, x))
+            left, room = left - x, room - x
     return plan
 
 
@@ -101,10 +69,10 @@ def _hashed(docs: DataFrame, id_col: str, shard_col: str):
 
 
 def block_plan(docs: DataFrame, capacities: list[int] | None = None, id_col: str = "doc_id", shard_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(shard, block, nbytes, old_shard, new_shard): where each block goes."""
+    """(shard, old_shard, new_shard, upto): the blocks of a shard up to upto, from where the entry before ends, go to new_shard."""
     spark = docs.sparkSession
     shard, block = _hashed(docs, id_col, shard_col)
-    weight = F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long")
+    weight = F.coalesce(F.octet_length(F.col(f"`{text_col}`").cast("string")), F.lit(0)).cast("long")
     blocks = Written(docs.groupBy(shard.alias("shard"), block.alias("block")).agg(F.sum(weight).alias("nbytes")), "blocks").df
     shards = sorted((r.shard, r.n) for r in blocks.groupBy("shard").agg(F.sum("nbytes").alias("n")).collect())  # one row per shard
     sizes = [n for _, n in shards]
@@ -119,33 +87,70 @@ def block_plan(docs: DataFrame, capacities: list[int] | None = None, id_col: str
     rows = [r if last[r[0]] != k else (*r[:4], 1 << 62) for k, r in enumerate(rows)]  # the last part takes blocks of no bytes too
     rows += [(name, i, i if i < len(capacities) else 0, 0, 1 << 62) for i, (name, n) in enumerate(shards) if not n]
     parts = spark.createDataFrame(rows, "part_shard string, old_shard long, new_shard long, lo long, hi long")
-    before = F.coalesce(F.sum("nbytes").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("nbytes").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # BLOCKS rows a shard
     placed = blocks.withColumn("at", before)
     small = F.broadcast(parts) if len(rows) <= 100_000 else parts
     on = (F.col("shard") == F.col("part_shard")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))
-    return placed.join(small, on).select("shard", "block", "nbytes", "old_shard", "new_shard")
+    return placed.join(small, on).groupBy("shard", "old_shard", "new_shard").agg(F.max("block").alias("upto"))
+
+
+class Placement:
+    """Where each row goes: ``rows`` has the documents' columns, old_shard, new_shard and moved."""
+
+    def __init__(self, docs: DataFrame, capacities: list[int] | None = None, id_col: str = "doc_id", shard_col: str = "source", text_col: str = "text"):
+        self.plan = Written(block_plan(docs, capacities, id_col, shard_col, text_col), "plan")
+        way = self.plan.df.groupBy("shard", "old_shard").agg(F.sort_array(F.collect_list(F.struct("upto", "new_shard"))).alias("way"))
+        way = Written(way, "way").side()
+        names = [c for c in docs.columns if c not in ("old_shard", "new_shard", "moved")]
+        shard, block = _hashed(docs, id_col, shard_col)
+        own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), shard.alias("_shard"), block.alias("_block"))
+        to = F.element_at(F.filter("way", lambda w: w["upto"] >= F.col("_block")), 1)["new_shard"]
+        placed = own.join(way, F.col("_shard") == F.col("shard")).select("_row", "_block", "old_shard", to.alias("new_shard")).withColumn("moved", F.col("old_shard") != F.col("new_shard"))
+        going = placed.filter("moved").repartition("new_shard", F.pmod("_block", F.lit(16)))
+        self.staying, moving = (x.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], "old_shard", "new_shard", "moved") for x in (placed.filter("NOT moved"), going))
+        self.rows = self.staying.unionByName(moving)
+
+    def affected(self) -> tuple[list[int], list[int]]:
+        """(shards that gain or lose rows, those of them that lose all and gain none). One entry for each transfer is read."""
+        pairs = [(r.old_shard, r.new_shard) for r in self.plan.df.select("old_shard", "new_shard").distinct().collect()]
+        hit = {s for p in pairs if p[0] != p[1] for s in p}
+        return sorted(hit), sorted(hit - {j for _, j in pairs})
+
+
+class Rewritten(NamedTuple):
+    """Numbers of the shards written, of those left without rows (their old files are to go), and the folder."""
+
+    written: list[int]
+    emptied: list[int]
+    path: str
+
+
+def rewrite_affected(placement: Placement, out: str | None = None) -> Rewritten:
+    """Writes each shard that gains or loses rows to ``out/new_shard=N``; other shards keep their files."""
+    spark = placement.rows.sparkSession
+    hit, emptied = placement.affected()
+    out = out or folder(spark, "shards")
+    written = [s for s in hit if s not in set(emptied)]
+    placement.rows.join(_numbers(spark, written), "new_shard", "left_semi").write.option("compression", "zstd").partitionBy("new_shard").parquet(out)
+    return Rewritten(written, emptied, out)
+
+
+def _numbers(spark: SparkSession, shards: list[int]) -> DataFrame:
+    table = spark.createDataFrame([(s,) for s in shards], "new_shard long")
+    return F.broadcast(table) if len(shards) <= 1_000_000 else table
 
 
 def reshard(docs: DataFrame, capacities: list[int] | None = None, id_col: str = "doc_id", shard_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The documents' columns, old_shard, new_shard and moved. Only rows that move are shuffled, to their new shard."""
-    plan = Written(block_plan(docs, capacities, id_col, shard_col, text_col).select("shard", "block", "old_shard", "new_shard"), "plan")
-    names = [c for c in docs.columns if c not in ("old_shard", "new_shard", "moved")]
-    shard, block = _hashed(docs, id_col, shard_col)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), shard.alias("_shard"), block.alias("_block"))
-    placed = rows.join(plan.side(), (F.col("_shard") == F.col("shard")) & (F.col("_block") == F.col("block"))).select("_row", "_block", "old_shard", "new_shard", (F.col("old_shard") != F.col("new_shard")).alias("moved"))
-    going = placed.filter("moved").repartition("new_shard", F.pmod("_block", F.lit(16)))
-    both = placed.filter("NOT moved").unionByName(going)
-    return both.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], "old_shard", "new_shard", "moved")
-
-
-def rewrite_affected(spark: SparkSession, resharded: DataFrame, out: str) -> list[int]:
-    """Writes the shards that gain or lose rows under ``out/new_shard=N`` and returns their numbers; other shards keep their files."""
-    rows = Written(resharded, "resharded").df
-    moved = rows.filter("moved")
-    hit = moved.select(F.col("old_shard").alias("s")).union(moved.select("new_shard")).distinct()
-    numbers = sorted(r.s for r in hit.collect())  # one row per shard
-    rows.filter(F.col("new_shard").isin(numbers)).write.partitionBy("new_shard").parquet(out)
-    return numbers
+    """The documents' columns, old_shard, new_shard and moved: affected shards as written and read again, the others as they are."""
+    placement = Placement(docs, capacities, id_col, shard_col, text_col)
+    spark, rows = docs.sparkSession, placement.rows
+    done = rewrite_affected(placement)
+    if not done.written:
+        return rows
+    kept = [f for f in rows.schema.fields if f.name != "new_shard"]
+    again = spark.read.schema(T.StructType([*kept, T.StructField("new_shard", T.LongType())])).parquet(done.path).select(rows.columns)
+    same = placement.staying.join(_numbers(spark, done.written), "new_shard", "left_anti").select(rows.columns)
+    return same.unionByName(again)
 
 
 def sql_reshard(table: str) -> str:

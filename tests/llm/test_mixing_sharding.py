@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import math
+import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -112,6 +114,16 @@ def test_transfers_move_the_fewest_bytes(sizes, capacities):
     assert sum(x for a, b, x in plan if a != b) == _least_moved(sizes, capacities)
 
 
+def test_many_shards_are_planned_in_linear_time():
+    rng = random.Random(2)
+    sizes = [rng.randrange(10**9) for _ in range(80_000)]
+    capacities = [-(-sum(sizes) * 102 // (100 * 60_000))] * 60_000
+    began = time.process_time()
+    plan = resharding.transfers(sizes, capacities)
+    assert time.process_time() - began < 10 and len(plan) < 220_000
+    assert sum(x for _, _, x in plan) == sum(sizes) and sum(x for i, j, x in plan if i != j) == sum(s - min(s, c) for s, c in zip(sizes, capacities + [0] * 20_000))
+
+
 def test_reshard_places_every_row_within_capacity(spark):
     rows = [(i, "y" * (i % 50 + 1), f"s{min(i % 7, 3)}") for i in range(2000)]
     size = sum(len(t) for _, t, _ in rows)
@@ -141,7 +153,33 @@ def test_reshard_odd_rows(spark):
 
 def test_only_affected_shards_are_rewritten(spark, tmp_path):
     rows = [(i, "y" * 10, "abc"[i % 3]) for i in range(300)]
-    docs = resharding.reshard(spark.createDataFrame(rows, DOCS), [1000, 500, 1500])
-    numbers = resharding.rewrite_affected(spark, docs, str(tmp_path / "out"))
-    assert numbers == [1, 2]  # the first shard holds what it held
-    assert spark.read.parquet(str(tmp_path / "out")).count() == docs.filter("new_shard IN (1, 2)").count()
+    placed = resharding.Placement(spark.createDataFrame(rows, DOCS), [1000, 500, 1500])
+    done = resharding.rewrite_affected(placed, str(tmp_path / "out"))
+    assert done.written == [1, 2] and done.emptied == []  # the first shard holds what it held
+    again = spark.read.parquet(done.path)
+    assert again.count() == placed.rows.filter("new_shard IN (1, 2)").count() and {r.new_shard for r in again.collect()} == {1, 2}
+
+
+def test_a_shard_that_loses_all_rows_is_emptied(spark):
+    rows = [(i, "y" * 10, "abcd"[i % 4]) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    placed = resharding.Placement(docs, [2000, 2000])
+    done = resharding.rewrite_affected(placed)
+    assert done.written == [0, 1] and done.emptied == [2, 3] and done.path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    got = resharding.reshard(docs, [2000, 0, 2000]).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter(rows) and {r.new_shard for r in got} == {0, 2}
+    assert all(r.moved == (r.old_shard != r.new_shard) for r in got)
+
+
+def test_nothing_is_rewritten_where_nothing_moves(spark):
+    rows = [(i, "y" * 10, "ab"[i % 2]) for i in range(100)]
+    placed = resharding.Placement(spark.createDataFrame(rows, DOCS), [500, 500])
+    assert placed.affected() == ([], []) and not any(r.moved for r in resharding.reshard(spark.createDataFrame(rows, DOCS), [500, 500]).collect())
+
+
+def test_the_plan_has_as_many_entries_as_transfers(spark):
+    rows = [(i, "y" * (i % 7 + 1), f"s{i % 5}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    size = [sum(len(t) for _, t, s in rows if s == f"s{k}") for k in range(5)]
+    caps = [-(-sum(size) // 8) + 1] * 8
+    assert resharding.block_plan(docs, caps).count() <= len(resharding.transfers(size, caps))
