@@ -9,9 +9,12 @@ one that gives ``TRAIN_ROWS`` of all labelled rows, or more where that leaves a
 language under its floor of ``TRAIN_ROWS`` / (2 x languages) rows, and all its
 rows where it has no more. So about 1.5 x ``TRAIN_ROWS`` rows are expected at
 most, no language gets more than twice its quota, and every labelled language
-has a row, however large the table and however rare the label. One in five of them is held out, and the
-temperature that minimises their log-loss calibrates the probabilities. Every
-document is then scored over its whole text.
+has a row, however large the table and however rare the label. Rows that repeat
+a text and a label are drawn once. Their counts, not their texts, go to the
+driver, so it gets ``BUCKETS`` pairs of numbers a row at most. One in five of
+them is held out, and the temperature that minimises their log-loss calibrates
+the probabilities. Every document is then scored over its whole text, by the
+n-grams that it has.
 
 Defined cases: null and empty texts have no n-gram and get the classes' rates
 among the labelled rows; rows without a label are scored but not trained on;
@@ -70,17 +73,17 @@ def counts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         while hi < len(low) and hi - lo < _ROWS and total + sizes[hi] <= CHUNK:
             total += int(sizes[hi])
             hi += 1
-        ends = np.cumsum(sizes[lo:hi])
+        row = np.repeat(np.arange(hi - lo), sizes[lo:hi])
         cp = np.frombuffer("".join(low.slice(lo, hi - lo).to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
         flat = np.zeros((hi - lo) * BUCKETS, np.int64)
         step = len(cp) if hi - lo > 1 else CHUNK
         for at in range(0, len(cp), max(step, 1)):
-            piece = cp[at : at + step + LONGEST - 1]
-            for n, g in enumerate(_ngrams(piece), 1):
-                g = g[:step]
-                rows = np.searchsorted(ends, np.arange(at, at + len(g)), side="right")
-                whole = at + np.arange(len(g)) + n <= ends[np.minimum(rows, len(ends) - 1)]
-                flat += np.bincount(rows[whole] * BUCKETS + g[whole], minlength=len(flat))
+            own = row[at : at + step + LONGEST - 1]
+            for n, g in enumerate(_ngrams(cp[at : at + step + LONGEST - 1]), 1):
+                key = own[: len(g)] * BUCKETS + g
+                if n > 1 and hi - lo > 1:
+                    key = key[own[: len(g)] == own[n - 1 :]]  # none reaches into the next text
+                flat += np.bincount(key[:step] if hi - lo == 1 else key, minlength=len(flat))
         yield lo, flat.reshape(hi - lo, BUCKETS)
         lo = hi
 
@@ -105,11 +108,32 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
     return df[:-1], int(df[-1])
 
 
-def features(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Rows of unit length: log-damped counts times inverse document frequency."""
-    x = np.log1p(c, dtype=np.float32) * idf
-    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-    return x / np.maximum(norm, 1e-12)[:, None]
+class Sparse:
+    """Rows of unit length: log-damped counts times inverse document frequency, the buckets that each row has in order."""
+
+    def __init__(self, row: np.ndarray, bucket: np.ndarray, count: np.ndarray, rows: int, idf: np.ndarray):
+        self.bucket, self.rows, self.idf = bucket, rows, idf
+        self.off = np.searchsorted(row, np.arange(rows + 1))
+        x = np.log1p(count, dtype=np.float32) * idf[bucket]
+        norm = np.sqrt(np.bincount(row, x * x, minlength=rows))
+        self.x = (x / np.maximum(norm, 1e-12)[row]).astype(np.float32)
+
+    @classmethod
+    def of(cls, c: np.ndarray, idf: np.ndarray) -> Sparse:
+        row, bucket = np.nonzero(c)
+        return cls(row, bucket, c[row, bucket], len(c), idf)
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.off[i], self.off[i + 1])
+        return self.bucket[part], self.x[part]
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        """The rows times the weights."""
+        out = np.zeros((self.rows, w.shape[1]))
+        has = np.flatnonzero(np.diff(self.off))
+        if len(has):
+            out[has] = np.add.reduceat(self.x[:, None] * w[self.bucket], self.off[has])
+        return out
 
 
 class Ftrl:
@@ -125,12 +149,12 @@ class Ftrl:
         w = -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
         return np.where(np.abs(z) <= self.l1, 0.0, w)
 
-    def learn(self, x: np.ndarray, y: int) -> None:
-        at = np.flatnonzero(x)
+    def learn(self, at: np.ndarray, x: np.ndarray, y: int) -> None:
+        """From a row's buckets and values and its class."""
         w = self.weights(at)
-        p = softmax((x[at] @ w)[None])[0]
+        p = softmax((x @ w)[None])[0]
         p[y] -= 1
-        g = x[at, None] * p[None, :]
+        g = x[:, None] * p[None, :]
         sigma = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.alpha
         self.z[at] += g - sigma * w
         self.n[at] += g * g
@@ -163,7 +187,7 @@ class Model:
         self.classes, self.idf, self.weights, self.temperature, self.rates = classes, idf, weights, temperature, rates
 
     def probabilities(self, c: np.ndarray) -> np.ndarray:
-        p = softmax(features(c, self.idf) @ self.weights, self.temperature)
+        p = softmax(Sparse.of(c, self.idf).scores(self.weights), self.temperature)
         p[c.sum(1) == 0] = self.rates
         return p
 
@@ -186,16 +210,28 @@ def quotas(sizes: dict, rows: int) -> dict:
 
 
 def sample(docs: DataFrame, rows: int, found: dict, text_col: str, label_col: str) -> pa.Table:
-    """About ``rows`` labelled rows, drawn from each class by a hash of the text; a class's least hash is always drawn."""
+    """(label, mark, buckets, counts) of about ``rows`` labelled texts, drawn from each class by their hash; a class's least hash is always drawn."""
     want = quotas({k: n for k, (n, _) in found.items()}, rows)
     spark = docs.sparkSession
     kind = T.StructType([T.StructField("_label", docs.schema[label_col].dataType), T.StructField("_below", T.LongType()), T.StructField("_most", T.LongType())])
     shares = [(k, max(-(-want[k] * (1 << 30) // n), least + 1), 2 * want[k]) for k, (n, least) in found.items()]
     t = F.col("text")
     own = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").alias("label")).filter(t.isNotNull())
-    drawn = own.join(F.broadcast(spark.createDataFrame(shares, kind)), F.col("label") == F.col("_label")).filter(_draw(t) < F.col("_below"))
-    kept = drawn.withColumn("_k", F.row_number().over(Window.partitionBy("label").orderBy(_draw(t), t))).filter("_k <= _most")
-    return kept.select("text", "label").toArrow().sort_by([("label", "ascending"), ("text", "ascending")])
+    drawn = own.join(F.broadcast(spark.createDataFrame(shares, kind)), F.col("label") == F.col("_label")).filter(_draw(t) < F.col("_below"))  # one row for each class
+    single = drawn.groupBy("label", F.xxhash64(t).alias("mark")).agg(F.any_value("text").alias("text"), F.any_value("_most").alias("_most"))
+    kept = single.withColumn("_k", F.row_number().over(Window.partitionBy("label").orderBy(_draw(t), "mark"))).filter("_k <= _most").select("label", "mark", "text")
+    ints = T.ArrayType(T.IntegerType(), False)
+    schema = T.StructType([kept.schema["label"], kept.schema["mark"], T.StructField("buckets", ints), T.StructField("counts", ints)])
+
+    def run(batches):
+        for b in batches:
+            for lo, c in counts(b.column(2)):
+                row, bucket = np.nonzero(c)
+                off = pa.array(np.searchsorted(row, np.arange(len(c) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(off, pa.array(x.astype(np.int32))) for x in (bucket, c[row, bucket])]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(c)), b.column(1).slice(lo, len(c)), *lists], names=schema.names)
+
+    return kept.mapInArrow(run, schema).toArrow().sort_by([("label", "ascending"), ("mark", "ascending")])
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, text_col: str = "text", label_col: str = "lang", seed: int = 1) -> Model | None:
@@ -205,19 +241,26 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, text_col: str = "text", l
     if not found:
         return None
     rows = sample(docs, train_rows, found, text_col, label_col)
-    classes = sorted(set(rows.column(1).to_pylist()), key=str)
-    y = np.array([classes.index(v) for v in rows.column(1).to_pylist()])
+    labels = rows.column("label").to_pylist()
+    classes = sorted(set(labels), key=str)
+    y = np.array([classes.index(v) for v in labels])
     rates = np.array([found[c][0] for c in classes]) / sum(found[c][0] for c in classes)
+    buckets, n_grams = (rows.column(k).combine_chunks() for k in ("buckets", "counts"))
+    row = np.repeat(np.arange(len(y)), pc.list_value_length(buckets).to_numpy())
+    return learned(Sparse(row, buckets.flatten().to_numpy(), n_grams.flatten().to_numpy(), len(y), idf), y, classes, rates, seed)
+
+
+def learned(x: Sparse, y: np.ndarray, classes: list, rates: np.ndarray, seed: int) -> Model:
+    """The model of the given rows, a fifth of which only calibrate."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
-    x = np.concatenate([features(c, idf) for _, c in counts(rows.column(0))])
     held, used = order[: len(y) // 5], order[len(y) // 5 :]
     model = Ftrl(len(classes), BUCKETS)
     for _ in range(EPOCHS):
         for i in rng.permutation(used):
-            model.learn(x[i], y[i])
+            model.learn(*x.row(i), y[i])
     w = model.weights().astype(np.float32)
-    return Model(classes, idf, w, best_temperature(x[held] @ w, y[held]), rates)
+    return Model(classes, x.idf, w, best_temperature(x.scores(w)[held], y[held]), rates)
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,12 +5,14 @@ whole text. A passage is its own hashed bigram and trigram counts and five share
 (distinct n-grams, symbols, capitals, digits, line ends), encoded by one
 learned layer. Gated attention, tanh times sigmoid, weighs the encodings; the
 weighted sum is scored by logistic regression. Only document labels are used;
-everything is learned together on the driver from at most ``TRAIN_ROWS``
-labelled documents.
+everything is learned together on the driver from about ``TRAIN_ROWS`` labelled
+documents, drawn by a hash of the id; where they hold more than ``TRAIN_BYTES``
+of text, from the first of them, in order of that hash, that don't.
 
 Defined cases: null and empty texts have no passage: quality 0, not kept, no
 top passage; labels that are null or whose document is missing are left out;
-several labels of one document each count; without documents of both labels
+different labels of one document each count, equal ones and rows that repeat an
+id and a text once; very long texts are scored whole; without documents of both labels
 quality, keep and top passage are null; ties in attention go to the first
 passage; repeated rows are scored each; an empty table gives an empty table;
 only ids, texts and labels are read.
@@ -30,8 +32,9 @@ from pyspark.sql import types as T
 PASSAGE = 512
 BUCKETS = 1 << 10
 WIDTH, GATE = 24, 16
-#: At most about so many labelled documents are trained on, drawn by a hash of the id.
+#: At most about so many labelled documents, and at most so many bytes of their texts, are trained on.
 TRAIN_ROWS = 2000
+TRAIN_BYTES = 64 << 20
 #: Batches that are learned from, at every number of labels.
 STEPS, BATCH, RATE, DECAY = 960, 64, 0.01, 1e-4
 CHUNK = 1 << 19
@@ -182,14 +185,24 @@ def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(xs), first, which
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Mil | None:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Mil | None:
     known = labels.select(F.col(f"`{id_col}`").alias("_lid"), F.col(f"`{label_col}`").cast("int").alias("_y")).filter("_lid IS NOT NULL AND _y IN (0, 1)")
+    known = known.distinct()
     total = known.count()
     share = min(1 << 30, -(-train_rows * (1 << 30) // max(total, 1)))
-    drawn = known.filter(F.pmod(F.xxhash64("_lid"), F.lit(1 << 30)) < share).limit(2 * train_rows)
+    mark = F.pmod(F.xxhash64("_lid"), F.lit(1 << 30))
+    first = [mark, F.col("_lid"), F.col("_y")]
+    drawn = known.filter(mark < share).orderBy(*first).limit(2 * train_rows)
     base = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_t")).filter("_t <> ''")
-    rows = base.join(F.broadcast(drawn), F.col("_id") == F.col("_lid")).select("_id", "_t", "_y").limit(4 * train_rows).toArrow()  # the drawn side is bounded
-    rows = rows.sort_by([("_id", "ascending"), ("_y", "ascending"), ("_t", "ascending")])
+    near = base.join(F.broadcast(drawn), F.col("_id") == F.col("_lid"))  # 2 x train_rows ids
+    sizes = near.select("_lid", "_y", F.xxhash64("_t").alias("_v"), F.octet_length("_t").alias("_n")).distinct().orderBy(*first, "_v").limit(4 * train_rows).toPandas()
+    sizes = sizes[sizes["_n"].cumsum() <= train_bytes]
+    if sizes.empty:
+        return None
+    spark = docs.sparkSession
+    keys = spark.createDataFrame(list(sizes[["_lid", "_y", "_v"]].itertuples(index=False, name=None)), T.StructType([T.StructField("_kid", known.schema["_lid"].dataType), T.StructField("_y", T.IntegerType()), T.StructField("_v", T.LongType())]))
+    chosen = base.join(F.broadcast(keys), (F.col("_id") == F.col("_kid")) & (F.xxhash64("_t") == F.col("_v"))).groupBy("_id", "_y", "_v").agg(F.any_value("_t").alias("_t"))
+    rows = chosen.select("_id", "_t", "_y", "_v").toArrow().sort_by([("_id", "ascending"), ("_y", "ascending"), ("_v", "ascending")])  # bounded by train_bytes
     y = rows.column(2).to_numpy().astype(np.float32)
     if len(set(y.tolist())) < 2:
         return None

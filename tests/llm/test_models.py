@@ -1,5 +1,6 @@
 """Language identification and the passage classifier: gradients, held-out accuracy and odd rows."""
 
+import math
 import random
 from collections import Counter
 
@@ -68,6 +69,60 @@ def test_temperature_is_the_best_on_a_grid():
     assert lid.best_temperature(np.zeros((0, 3)), np.zeros(0, int)) == 1.0
 
 
+def _model_by_force(rows, seed=1):
+    """Weights and temperature's inputs by plain sums over all buckets, in the order that the sample has."""
+    n = len(rows)
+    c = np.stack([_counts_by_force(t) for t, _ in rows])
+    idf = np.log((n + 1) / ((c > 0).sum(0) + 1)) + 1
+    x = np.log1p(c) * idf
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    classes = sorted({v for _, v in rows})
+    y = [classes.index(v) for _, v in rows]
+    rng = np.random.default_rng(seed)
+    order = rng.permutation(n)
+    z, g2 = np.zeros((lid.BUCKETS, len(classes))), np.zeros((lid.BUCKETS, len(classes)))
+
+    def weights():
+        return np.where(np.abs(z) <= lid.L1, 0, -(z - np.sign(z) * lid.L1) / ((lid.BETA + np.sqrt(g2)) / lid.ALPHA + lid.L2))
+
+    for _ in range(lid.EPOCHS):
+        for i in rng.permutation(order[n // 5 :]):
+            w = weights()
+            s = np.exp(x[i] @ w - max(x[i] @ w))
+            p = s / s.sum()
+            for k in range(len(classes)):
+                g = x[i] * (p[k] - (k == y[i]))
+                sigma = (np.sqrt(g2[:, k] + g * g) - np.sqrt(g2[:, k])) / lid.ALPHA
+                z[:, k] += g - sigma * w[:, k]
+                g2[:, k] += g * g
+    return classes, idf, weights()
+
+
+def test_fit_and_predictions_equal_plain_ftrl(spark):
+    docs = _lang_docs(60)
+    df = spark.createDataFrame(docs, DOCS)
+    by_mark = {r.text: r.mark for r in df.selectExpr("text", "xxhash64(text) AS mark").collect()}
+    rows = sorted({(t, v) for _, t, v in docs}, key=lambda r: (r[1], by_mark[r[0]]))
+    assert len(rows) == len(docs)
+    classes, idf, w = _model_by_force(rows)
+    model = lid.fit(df)
+    assert model.classes == classes and np.allclose(model.idf, idf, atol=1e-5) and np.allclose(model.weights, w, atol=1e-4) and (w != 0).any()
+    got = {r.doc_id: (r.lang_pred, r.confidence) for r in lid.predict(df, model).collect()}
+    for i, t, _ in docs:
+        x = np.log1p(_counts_by_force(t)) * idf
+        s = (x / np.sqrt(x @ x)) @ w / model.temperature
+        p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        assert got[i][0] == classes[p.argmax()] and abs(got[i][1] - p.max()) < 1e-3
+
+
+def test_a_text_that_fills_the_table_is_drawn_once(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "if(id % 100 = 0, concat('the river ', id), 'the house of stone') AS text", "if(id % 100 = 0, 'aa', 'bb') AS lang")
+    found = lid.label_counts(docs, "text", "lang")
+    drawn = lid.sample(docs, 2000, found, "text", "lang")
+    assert drawn.column("label").to_pylist().count("bb") == 1 and drawn.column_names == ["label", "mark", "buckets", "counts"]
+    assert found["bb"][0] == 2970
+
+
 def test_l1_leaves_weights_at_zero(spark):
     docs = spark.createDataFrame(_lang_docs(), DOCS)
     w = lid.fit(docs).weights
@@ -122,7 +177,7 @@ def test_a_rare_language_is_drawn_among_many_labels(spark):
     docs = _lang_docs(3000) + [(9000, "kuća reka kamen", "zz")]
     df = spark.createDataFrame(docs, DOCS)
     found = lid.label_counts(df, "text", "lang")
-    drawn = Counter(lid.sample(df, 100, found, "text", "lang").column(1).to_pylist())
+    drawn = Counter(lid.sample(df, 100, found, "text", "lang").column("label").to_pylist())
     assert drawn["zz"] == 1 and set(drawn) == {"aa", "bb", "cc", "zz"} and sum(drawn.values()) <= 300
     assert lid.quotas({"aa": 10**9, "zz": 50}, 4000) == {"aa": 4000, "zz": 50}
 
@@ -216,6 +271,39 @@ def test_attention_finds_the_passage_that_decides(spark):
     assert sum(got[i].top_passage == where[i] for i in bad) >= 0.9 * len(bad)
 
 
+def test_scores_equal_a_plain_forward_pass(spark):
+    docs, labels, _ = _bags(80)
+    docs += [(900, None), (901, ""), (902, "x"), (903, "etaoin " * 3000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = mil.fit(d, spark.createDataFrame(labels, "doc_id long, quality int"))
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    for r in mil.score(d, model).collect():
+        text = dict(docs)[r.doc_id]
+        if not text:
+            assert (r.n_passages, r.quality, r.keep, r.top_passage) == (0, 0.0, False, None)
+            continue
+        h = [np.tanh(x @ p["V"] + p["b"]) for x in _features_by_force(text)]
+        e = [math.exp(sum(math.tanh(h_ @ p["A"][:, k]) / (1 + math.exp(-(h_ @ p["G"][:, k]))) * p["w"][k] for k in range(mil.GATE))) for h_ in h]
+        a = [v / sum(e) for v in e]
+        z = sum(v * h_ for v, h_ in zip(a, h))
+        q = 1 / (1 + math.exp(-(z @ p["c"] + p["d"][0])))
+        assert r.n_passages == len(h) and abs(r.quality - q) < 1e-3 and r.keep == (r.quality >= 0.5)
+        assert a[r.top_passage] >= max(a) - 1e-5
+
+
+def test_the_bytes_of_the_fit_are_bounded(spark, monkeypatch):
+    docs, labels, _ = _bags(60)
+    d, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels * 3, "doc_id long, quality int")
+    seen = []
+    bags = mil.bags
+    monkeypatch.setattr(mil, "bags", lambda t: seen.append(t.to_pylist()) or bags(t))
+    monkeypatch.setattr(mil, "train", lambda *a: "model")
+    mil.fit(d.unionByName(d), marks)
+    assert sorted(seen[0]) == sorted(t for _, t in docs)  # rows and labels that repeat count once
+    assert mil.fit(d, marks, train_bytes=20_000) == "model" and 10_000 < sum(map(len, seen[1])) <= 20_000
+    assert mil.fit(d, marks, train_bytes=0) is None
+
+
 def test_quality_of_held_out_labels(spark, sf_dir):
     """Of each class apart, since most labels are 1; sf0.001 has too few of 0 to learn from."""
     sf = sf_dir.replace("sf0.001", "sf0.01")
