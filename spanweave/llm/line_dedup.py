@@ -1,16 +1,18 @@
 """Line dedup by overlapping windows of three consecutive lines.
 
-Each window's lines are hashed; a window that occurs anywhere before, in order
-of (id, text, line), is a repeat, and the lines that repeats cover are removed.
-A removed line has the same line in an earlier place of its window's first
-occurrence, and following such places ends at a line that is kept, so no line's
-content is lost everywhere.
+Each window's lines are hashed to 128 bits; a window that occurs anywhere
+before, in order of (id, hash of the text, line), is a repeat, and the lines that
+repeats cover are removed. A removed line has the same line in an earlier place
+of its window's first occurrence, and following such places ends at a line that
+is kept, so no line's content is lost everywhere. The windows are hashed once
+and written; texts are shuffled only where the covers are too large to send.
 
 Defined cases: texts of fewer than three lines have no window and stay as they
 are; a null text stays null with zero lines; the empty text has one line, the
 empty one; ids that are null come first; rows that repeat both id and text are
 one document and each gets its result; rows that share an id only are separate
-documents; an empty table gives an empty table. The result has its own columns
+documents, told apart by 64 bits of the text's hash; windows that tie in all but
+the place belong to the first; very long texts are split whole; an empty table gives an empty table. The result has its own columns
 only; ``deduped`` returns the input's columns with the text replaced.
 """
 
@@ -19,20 +21,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanweave.storage import Written
+
 WINDOW = 3
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
     """carry + (_id, _text, _starts): first lines of the windows to remove, null where there are none."""
     base = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    slim = base.select("_id", "_text").filter(F.instr("_text", "\n") > 0).select("_id", F.xxhash64("_text").alias("_tv"), F.transform(F.split("_text", "\n"), F.md5).alias("_d")).filter(F.size("_d") >= WINDOW)
-    hashes = F.transform(F.sequence(F.lit(1), F.size("_d") - (WINDOW - 1)), lambda i: F.unhex(F.md5(F.array_join(F.slice("_d", i, WINDOW), ""))))
-    wins = slim.select("_id", "_tv", F.posexplode(hashes).alias("_p", "_h"))
+    split = base.select("_id", "_text").filter(F.instr("_text", "\n") > 0).select("_id", F.xxhash64("_text").alias("_tv"), F.split("_text", "\n").alias("_l")).filter(F.size("_l") >= WINDOW)
+    lines = lambda i: [F.get("_l", i + k) for k in range(WINDOW)]
+    hashes = F.transform(F.sequence(F.lit(0), F.size("_l") - WINDOW), lambda i: F.struct(F.xxhash64(*lines(i)).alias("a"), F.xxhash64(F.lit(1), *lines(i)).alias("b")))
+    wins = Written(split.select("_id", "_tv", F.posexplode(hashes).alias("_p", "_h")).select("_id", "_tv", "_p", "_h.a", "_h.b"), "windows").df
     place = F.struct("_id", "_tv", "_p")
-    firsts = wins.groupBy("_h").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).filter("NOT (_first <=> _last)").select("_h", "_first")
-    later = wins.join(firsts, "_h").filter(~place.eqNullSafe(F.col("_first")))
-    cover = later.groupBy("_id", "_tv").agg(F.collect_set("_p").alias("_starts")).select(F.col("_id").alias("_cid"), F.col("_tv").alias("_ctv"), "_starts")
-    return base.join(cover, F.col("_id").eqNullSafe(F.col("_cid")) & (F.xxhash64("_text") == F.col("_ctv")), "left").drop("_cid", "_ctv")
+    firsts = wins.groupBy("a", "b").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).filter("NOT (_first <=> _last)").select("a", "b", "_first")
+    later = wins.join(firsts, ["a", "b"]).filter(~place.eqNullSafe(F.col("_first")))
+    cover = Written(later.groupBy("_id", "_tv").agg(F.collect_set("_p").alias("_starts")).select(F.col("_id").alias("_cid"), F.col("_tv").alias("_ctv"), "_starts"), "cover")
+    return base.join(cover.side(), F.col("_id").eqNullSafe(F.col("_cid")) & (F.xxhash64("_text") == F.col("_ctv")), "left").drop("_cid", "_ctv")
 
 
 def _kept() -> tuple[F.Column, F.Column]:
