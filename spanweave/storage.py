@@ -77,12 +77,20 @@ class Written:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes every table this process wrote. Call it once results are read."""
-    n = 0
-    for s, path in _made:
+def made() -> int:
+    """How many tables this process wrote and did not release; to pass to ``release``."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> int:
+    """Deletes the tables this process wrote, those after ``since`` only, but for the paths to keep. Call it once results are read."""
+    n, left = 0, _made[:since]
+    for s, path in _made[since:]:
+        if path in keep:
+            left.append((s, path))
+            continue
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         n += bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
-    _made.clear()
+    _made[:] = left
     return n

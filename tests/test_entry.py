@@ -66,6 +66,17 @@ def test_written_table_is_in_the_folder_that_the_session_names(spark):
         w.df.count()
 
 
+def test_release_keeps_what_came_before_and_what_it_is_told(spark):
+    before = storage.Written(spark.range(3), "before")
+    mark = storage.made()
+    a, b = (storage.Written(spark.range(n), "t") for n in (4, 5))
+    assert storage.release(spark, mark, (b.path,)) == 1
+    assert before.df.count() == 3 and b.df.count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        a.df.count()
+    assert storage.release(spark, mark) == 1
+
+
 def test_components(spark, rows):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (9, 8), (8, 7), (7, 6), (5, 5), (None, 4), (2, 1)], "a long, b long")
     assert rows(components(edges)) == sorted([(1, 1), (2, 1), (3, 1), (6, 6), (7, 6), (8, 6), (9, 6)], key=repr)
