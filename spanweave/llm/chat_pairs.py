@@ -8,9 +8,12 @@ assistant turns' texts, the only parts that bear loss.
 Defined cases: turns are ordered by (turn, role, text), null turn numbers
 first; null roles and texts are ''; turns that repeat are kept; a side that is
 only the common prefix gets an empty completion; a pair that is equal on both
-sides has two empty completions and is not usable; empty turn tables give an
-empty table; other columns of the input are ignored. Conversations with a null
-id are one conversation.
+sides has two empty completions and is not usable; a null side is rendered as an
+empty one and its pair is not usable; empty turn tables give an empty table;
+other columns of the input are ignored. Conversations with a null id are one
+conversation. Turns of any length are rendered whole, and roles and texts as they
+are: what looks like a turn's head inside a text is not escaped, and spans, which
+count characters, still tell it from a head.
 """
 
 from __future__ import annotations
@@ -54,12 +57,15 @@ def _spans(turns: Column) -> Column:
 
 def preference_pairs(pairs: DataFrame) -> DataFrame:
     """From (pair_id, chosen, rejected) with arrays of (role, text) to one training row for each pair."""
+    whole = F.col("chosen").isNotNull() & F.col("rejected").isNotNull()
+    sides = [F.coalesce(s, F.array().cast(pairs.schema[s].dataType)).alias(s) for s in ("chosen", "rejected")]
+    pairs = pairs.select("pair_id", *sides, whole.alias("whole"))
     c, r = F.col("chosen"), F.col("rejected")
     both = F.least(F.size(c), F.size(r))
     same = F.when(both > 0, F.transform(F.sequence(F.lit(1), both), lambda i: F.element_at(c, i).eqNullSafe(F.element_at(r, i)))).otherwise(F.array().cast("array<boolean>"))
     found = F.array_position(same, False)
-    at = pairs.select("pair_id", "chosen", "rejected", F.when(found > 0, found - 1).otherwise(both).cast("int").alias("k"))
-    rest = at.select("pair_id", "k", F.slice("chosen", F.lit(1), F.col("k")).alias("p"), *[F.slice(s, F.col("k") + 1, F.size(s)).alias(s) for s in ("chosen", "rejected")])
+    at = pairs.select("pair_id", "chosen", "rejected", "whole", F.when(found > 0, found - 1).otherwise(both).cast("int").alias("k"))
+    rest = at.select("pair_id", "k", "whole", F.slice("chosen", F.lit(1), F.col("k")).alias("p"), *[F.slice(s, F.col("k") + 1, F.size(s)).alias(s) for s in ("chosen", "rejected")])
     return rest.select(
         "pair_id",
         F.col("k").cast("long").alias("n_prompt_turns"),
@@ -68,7 +74,7 @@ def preference_pairs(pairs: DataFrame) -> DataFrame:
         _spans(F.col("chosen")).alias("chosen_spans"),
         _render(F.col("rejected")).alias("rejected"),
         _spans(F.col("rejected")).alias("rejected_spans"),
-        ((F.size("chosen") > 0) | (F.size("rejected") > 0)).alias("usable"),
+        (F.col("whole") & ((F.size("chosen") > 0) | (F.size("rejected") > 0))).alias("usable"),
     )
 
 

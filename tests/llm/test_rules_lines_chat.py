@@ -148,14 +148,20 @@ def test_pairs_share_one_prompt_and_mask_the_rest(spark):
 
 def test_pairs_on_odd_rows(spark):
     one = [("user", "a")]
-    rows = [(1, one, one), (2, [], []), (3, one, []), (4, one, [*one, ("assistant", "b")]), (5, [(None, "a")], [(None, "a")]), (6, None, one)]
+    rows = [(1, one, one), (2, [], []), (3, one, []), (4, one, [*one, ("assistant", "b")]), (5, [(None, "a")], [(None, "a")]), (6, None, one), (7, one, None), (8, None, None)]
     got = {r.pair_id: r for r in chat_pairs.preference_pairs(_pairs(spark, rows)).collect()}
     assert not got[1].usable and got[1].chosen == got[1].rejected == ""
     assert not got[2].usable and got[2].n_prompt_turns == 0
     assert got[3].usable and got[3].n_prompt_turns == 0
     assert got[4].chosen == "" and got[4].rejected_spans
     assert got[5].n_prompt_turns == 1
-    assert got[6].n_prompt_turns == 0
+    said = _plain(one)
+    assert tuple(got[6]) == (6, 0, "", "", "", said, "", False) and tuple(got[7]) == (7, 0, "", said, "", "", "", False)
+    assert tuple(got[8]) == (8, 0, "", "", "", "", "", False)
+    long = "<|assistant|>\n" * 50_000
+    (r,) = chat_pairs.preference_pairs(_pairs(spark, [(9, [("assistant", long)], [("assistant", "<|x|>")])])).collect()
+    a, b = map(int, r.chosen_spans.split("-"))
+    assert r.chosen[a:b] == long and r.rejected[slice(*map(int, r.rejected_spans.split("-")))] == "<|x|>"
     assert chat_pairs.preference_pairs(_pairs(spark, [])).count() == 0
 
 
