@@ -6,8 +6,7 @@ integers, so a row's verdict doesn't depend on rounding.
 Lines are counted without blank ones, which would else make many paragraphs look
 like repeated lines. The share of distinct words falls with length alone, so it
 is asked of ``SHARE_WORDS`` words at most: a longer text needs no more distinct
-words than one of that length. The SQL states the rules without these two
-points; both agree on texts without blank lines and of up to that length.
+words than one of that length.
 
 Defined cases: a null or empty text has zero counts and fails ``no_words``;
 texts of any length are measured whole; repeated rows are judged each on its
@@ -108,7 +107,9 @@ _SW = ", ".join(f"'{w}'" for w in STOP_WORDS)
 def sql_failed() -> str:
     parts = []
     for name, left, a, op, right, b, words in RULES:
-        parts.append(f"CASE WHEN {'1' if left == 'one' else left} * {a} {op} {'1' if right == 'one' else right} * {b} AND n_words >= {words} THEN '{name}' END")
+        x, y = ("1" if side == "one" else side for side in (left, right))
+        y = f"least({y}, {_AT_MOST[name]})" if name in _AT_MOST else y
+        parts.append(f"CASE WHEN {x} * {a} {op} {y} * {b} AND n_words >= {words} THEN '{name}' END")
     return "concat_ws(',', " + ", ".join(parts) + ")"
 
 
@@ -124,7 +125,7 @@ SELECT {keep}, CAST(length(t) AS BIGINT) AS n_chars, CAST(len(w) AS BIGINT) AS n
   CAST(len(l) AS BIGINT) AS n_lines, CAST(len(list_distinct(l)) AS BIGINT) AS n_distinct_lines
 FROM (SELECT *, coalesce(text, '') AS t,
   list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}]+'), lambda x: x <> '') AS w,
-  string_split(coalesce(text, ''), chr(10)) AS l FROM {table})"""
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\s\\x0B\\p{{Z}}]')) AS l FROM {table})"""
 
 
 def oracle() -> str:
