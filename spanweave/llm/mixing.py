@@ -9,9 +9,10 @@ order within it, which shuffles globally without sampling the keys.
 
 Defined cases: a null source is the source ''; a source without a target weight
 gets weight 0 when targets are given; a null or empty text counts zero
-characters, and a source with zero characters is left out; rows that repeat an
-id draw the same count; a null id draws as the id ''; an empty table gives an
-empty table. Input columns named ``copy`` or ``mix_key`` are replaced in
+characters, and a source with zero characters is left out; very long texts are
+counted and repeated whole; rows that repeat an id draw the same count and key;
+a row with a null id draws by its text; rows that tie in key and copy, as repeated
+rows do, lie in any order; an empty table gives an empty table. Input columns named ``copy`` or ``mix_key`` are replaced in
 ``mixed``; ``replicated`` returns the input's columns only.
 """
 
@@ -30,6 +31,11 @@ def _draw(*parts) -> F.Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
+def ident_of(id_col: str, text_col: str) -> F.Column:
+    """What a row is hashed by: its id, or its text's hash where it has none, so that such rows don't go together."""
+    return F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("~"), F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))))
+
+
 def source_rates(docs: DataFrame, source_col: str = "source", text_col: str = "text", targets: dict[str, float] | None = None) -> DataFrame:
     """(src, chars, rate) for each source. Without ``targets`` a source's weight is the root of its size."""
     sizes = docs.groupBy(F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("src")).agg(
@@ -70,7 +76,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     """The documents' columns, ``copy`` from 1 on, and ``mix_key``, in globally shuffled order."""
     table = Written(_distribution(source_rates(docs, source_col, text_col, targets)), "rates")
     names = [c for c in docs.columns if c not in ("copy", "mix_key")]
-    ident = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
+    ident = ident_of(id_col, text_col)
     u = F.conv(F.substring(_draw(F.lit(str(seed)), ident), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"),
@@ -100,6 +106,7 @@ def replicated(docs: DataFrame, **kw) -> DataFrame:
 
 
 def sql_mixed(table: str, seed: int = SEED) -> str:
+    ident = "coalesce(CAST(doc_id AS VARCHAR), '~' || md5(coalesce(text, '')))"
     return f"""
 WITH src AS (SELECT coalesce(source, '') AS src, CAST(sum(length(text)) AS BIGINT) AS chars FROM {table} GROUP BY 1 HAVING sum(length(text)) > 0),
 rate AS (SELECT src, sqrt(CAST(chars AS DOUBLE)) / (SELECT sum(sqrt(CAST(chars AS DOUBLE))) FROM src) * (SELECT sum(chars) FROM src) / chars AS rate FROM src),
@@ -107,7 +114,7 @@ ks AS (SELECT src, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 40)
 p AS (SELECT src, k, exp(-rate + k * ln(rate) - sum(CASE WHEN k > 0 THEN ln(CAST(k AS DOUBLE)) ELSE 0 END) OVER (PARTITION BY src ORDER BY k)) AS p FROM ks),
 c AS (SELECT src, k, sum(p) OVER (PARTITION BY src ORDER BY k) AS c FROM p),
 cdf AS (SELECT src, list(c ORDER BY c) AS cdf FROM c GROUP BY src),
-n AS (SELECT d.*, len(list_filter(cdf, lambda x: x <= CAST(('0x' || substr(md5('{seed}|' || doc_id), 1, 13)) AS BIGINT) / 4503599627370496.0)) AS n
+n AS (SELECT d.*, len(list_filter(cdf, lambda x: x <= CAST(('0x' || substr(md5('{seed}|' || {ident}), 1, 13)) AS BIGINT) / 4503599627370496.0)) AS n
   FROM {table} d JOIN cdf ON coalesce(d.source, '') = cdf.src),
 e AS (SELECT *, CAST(unnest(range(1, n + 1)) AS BIGINT) AS copy FROM n WHERE n > 0)
-SELECT * EXCLUDE (n), CAST(('0x' || substr(md5('{seed}|' || doc_id || '|' || copy), 1, 15)) AS BIGINT) AS mix_key FROM e"""
+SELECT * EXCLUDE (n), CAST(('0x' || substr(md5('{seed}|' || {ident} || '|' || copy), 1, 15)) AS BIGINT) AS mix_key FROM e"""

@@ -18,7 +18,7 @@ are written anew to the shared folder, one folder each; only rows that move are
 shuffled.
 
 Defined cases: a null shard name is the shard ''; null texts weigh nothing;
-null ids are hashed as ''; rows that tie in their block, repeated rows among
+a row with a null id goes by its text's hash; rows that tie in their block, repeated rows among
 them, go together; a very long text is moved whole, with its block; a shard that
 loses all its rows has no folder and is named as emptied; an empty table gives
 an empty table; input columns named old_shard, new_shard or moved are replaced.
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from spanweave.llm.mixing import ident_of
 from spanweave.storage import Written, folder
 
 #: Blocks of each old shard. One block is what moves as a whole.
@@ -63,15 +64,15 @@ def transfers(sizes: list[int], capacities: list[int]) -> list[tuple[int, int, i
     return plan
 
 
-def _hashed(docs: DataFrame, id_col: str, shard_col: str):
-    block = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"), F.lit(BLOCKS))
+def _hashed(id_col: str, shard_col: str, text_col: str):
+    block = F.pmod(F.conv(F.substring(F.md5(ident_of(id_col, text_col)), 1, 8), 16, 10).cast("long"), F.lit(BLOCKS))
     return F.coalesce(F.col(f"`{shard_col}`").cast("string"), F.lit("")), block
 
 
 def block_plan(docs: DataFrame, capacities: list[int] | None = None, id_col: str = "doc_id", shard_col: str = "source", text_col: str = "text") -> DataFrame:
     """(shard, old_shard, new_shard, upto): the blocks of a shard up to upto, from where the entry before ends, go to new_shard."""
     spark = docs.sparkSession
-    shard, block = _hashed(docs, id_col, shard_col)
+    shard, block = _hashed(id_col, shard_col, text_col)
     weight = F.coalesce(F.octet_length(F.col(f"`{text_col}`").cast("string")), F.lit(0)).cast("long")
     blocks = Written(docs.groupBy(shard.alias("shard"), block.alias("block")).agg(F.sum(weight).alias("nbytes")), "blocks").df
     shards = sorted((r.shard, r.n) for r in blocks.groupBy("shard").agg(F.sum("nbytes").alias("n")).collect())  # one row per shard
@@ -102,7 +103,7 @@ class Placement:
         way = self.plan.df.groupBy("shard", "old_shard").agg(F.sort_array(F.collect_list(F.struct("upto", "new_shard"))).alias("way"))
         way = Written(way, "way").side()
         names = [c for c in docs.columns if c not in ("old_shard", "new_shard", "moved")]
-        shard, block = _hashed(docs, id_col, shard_col)
+        shard, block = _hashed(id_col, shard_col, text_col)
         own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), shard.alias("_shard"), block.alias("_block"))
         to = F.element_at(F.filter("way", lambda w: w["upto"] >= F.col("_block")), 1)["new_shard"]
         placed = own.join(way, F.col("_shard") == F.col("shard")).select("_row", "_block", "old_shard", to.alias("new_shard")).withColumn("moved", F.col("old_shard") != F.col("new_shard"))
@@ -155,7 +156,7 @@ def reshard(docs: DataFrame, capacities: list[int] | None = None, id_col: str =
 
 def sql_reshard(table: str) -> str:
     return f"""
-WITH d AS (SELECT *, coalesce(source, '') AS shard, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % {BLOCKS} AS block, CAST(strlen(coalesce(text, '')) AS BIGINT) AS nb FROM {table}),
+WITH d AS (SELECT *, coalesce(source, '') AS shard, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '~' || md5(coalesce(text, '')))), 1, 8)) AS BIGINT) % {BLOCKS} AS block, CAST(strlen(coalesce(text, '')) AS BIGINT) AS nb FROM {table}),
 b AS (SELECT shard, block, CAST(sum(nb) AS BIGINT) AS nb FROM d GROUP BY ALL),
 s AS (SELECT shard, CAST(sum(nb) AS BIGINT) AS size, row_number() OVER (ORDER BY shard) - 1 AS i FROM b GROUP BY shard),
 cap AS (SELECT CAST(ceil(sum(size) * {100 + SLACK} / (100.0 * {NEW_SHARDS})) AS BIGINT) AS cap FROM s),

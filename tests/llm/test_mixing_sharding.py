@@ -37,7 +37,7 @@ def _expected(rows, targets=None, seed=mixing.SEED):
     out = Counter()
     for i, text, source in rows:
         if rate.get(source or "", 0) > 0:
-            u = int(hashlib.md5(f"{seed}|{'' if i is None else i}".encode()).hexdigest()[:13], 16) / 2**52
+            u = int(hashlib.md5(f"{seed}|{'~' + hashlib.md5((text or '').encode()).hexdigest() if i is None else i}".encode()).hexdigest()[:13], 16) / 2**52
             for copy in range(1, _count(u, rate[source or ""]) + 1):
                 out[i, copy] += 1
     return out
