@@ -2,7 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 and read again as the next one's documents. All but the last return the columns
-of documents. Empty tables pass through as empty tables.
+of documents; extra columns, whatever their names, pass through (but for those
+that sharding adds: old_shard, new_shard, moved).
+
+Defined cases: a null or empty text has no words and goes in the first stage;
+texts of any length are judged whole by every stage; documents are told apart
+by id and text, so a copy or a benchmark passage goes also where its id is null
+or another text's; of rows that repeat both, one stays before mixing repeats
+what it repeats; of a group the smallest id stays, and a null one only where
+the group has no other; a null source is the source ''; empty tables pass
+through as empty tables.
 """
 
 from __future__ import annotations
@@ -10,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanweave.llm import decontamination, minhash_dedup, mixing, quality_rules, resharding
-from spanweave.storage import Written
+from spanweave.storage import Written, made, release
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +56,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = Written(stage(spark, docs, sf_dir), name).df
+        mark = made()
+        kept = Written(stage(spark, docs, sf_dir), name)
+        release(spark, mark, (kept.path,))  # what the stage wrote on its way
+        if last:
+            last.drop()
+        docs, last = kept.df, kept
     return STAGES[-1][1](spark, docs, sf_dir)
