@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanweave.llm.textscan import scans
+from spanweave.llm.textscan import scans, sql_words
 from spanweave.storage import Written
 
 #: Bytes of benchmark text that are sent to executors at once, and distinct words of one index.
@@ -375,3 +375,23 @@ def clean(docs: DataFrame, bench: DataFrame, rules: Rules = Rules(), id_col: str
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), name.alias("_name"))
     kept = whole.join(hit.side(), F.col("_name") == F.col("_hit"), "left_anti")
     return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+
+
+def sql_matches(docs: str, bench: str, rules: Rules = Rules()) -> str:
+    """DuckDB text of ``matches``, for tables without rows that share an id. Phrases are islands of common runs of ``least`` words."""
+    n = rules.least
+    return f"""
+WITH d AS (SELECT doc_id, {sql_words("text")} AS ws FROM {docs} WHERE doc_id IS NOT NULL AND text <> ''),
+b AS (SELECT item_id, ws, len(ws) AS m, len(list_distinct(ws)) AS d FROM (SELECT item_id, {sql_words("text")} AS ws FROM {bench} WHERE item_id IS NOT NULL AND text <> '') WHERE len(ws) >= {n}),
+dg AS (SELECT doc_id, p, array_to_string(ws[p + 1 : p + {n}], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - {n - 1})) AS p FROM d WHERE len(ws) >= {n})),
+bg AS (SELECT item_id, m, q, array_to_string(ws[q + 1 : q + {n}], ' ') AS g FROM (SELECT item_id, ws, m, unnest(range(0, m - {n - 1})) AS q FROM b)),
+j AS (SELECT doc_id, item_id, m, p, p - q AS diag, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS island FROM dg JOIN bg USING (g)),
+r AS (SELECT doc_id, item_id, min(p) AS p, count(*) + {n - 1} AS n FROM j GROUP BY doc_id, item_id, m, diag, island HAVING count(*) + {n - 1} >= least({rules.phrase}, m)),
+ph AS (SELECT doc_id, item_id, 'phrase' AS kind, max(n) AS n_words, arg_min(p, (-n, p)) AS p FROM r GROUP BY doc_id, item_id),
+dw AS (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS p FROM d),
+bw AS (SELECT item_id, m + greatest(4, m // 4) AS win, CAST(ceil({rules.near} * d - 1e-9) AS BIGINT) AS k, unnest(list_distinct(ws)) AS w FROM b WHERE d >= {rules.least_near}),
+o AS (SELECT doc_id, item_id, win, k, p, dw.w FROM dw JOIN bw ON dw.w = bw.w),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id ORDER BY p RANGE BETWEEN CURRENT ROW AND (win - 1) FOLLOWING) AS hits FROM o),
+h AS (SELECT c.doc_id, c.item_id, c.p, c.k, count(DISTINCT o.w) AS n FROM c JOIN o ON c.doc_id = o.doc_id AND c.item_id = o.item_id AND o.p >= c.p AND o.p < c.p + c.win WHERE c.hits >= c.k GROUP BY ALL),
+ne AS (SELECT doc_id, item_id, 'near' AS kind, max(n) AS n_words, arg_min(p, (-n, p)) AS p FROM h WHERE n >= k GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, kind, CAST(n_words AS BIGINT) AS n_words, CAST(p AS BIGINT) AS at FROM (SELECT * FROM ph UNION ALL SELECT * FROM ne)"""

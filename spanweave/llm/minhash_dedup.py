@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanweave.llm.textscan import mix, scans
+from spanweave.llm.textscan import mix, scans, sql_mix, sql_word_hash, sql_words
 from spanweave.operators.graph import components
 from spanweave.storage import Written
 
@@ -222,3 +222,24 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
         single = kept.join(again.side(), on, "left_anti").select("_row")
         kept = single.unionByName(kept.join(again.side(), on, "left_semi").groupBy("_id", "_version").agg(F.min_by("_row", "_mark").alias("_row")).select("_row"))
     return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+
+
+def sql_links(table: str, threshold: float = THRESHOLD) -> str:
+    """DuckDB text of ``near_links``, for tables without rows that share an id and words of at most 256 bytes."""
+    add = lambda a, b: f"CAST((CAST({a} AS HUGEINT) + {b}) % 18446744073709551616 AS UBIGINT)"
+    sig = ", ".join(f"min(xor(x, {a}) * {b} % 4294967296)" for a, b in zip(_XOR.tolist(), _MUL.tolist()))
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {sql_words("coalesce(text, '')")} AS ws FROM {table}),
+w AS MATERIALIZED (SELECT w, {sql_word_hash("w")} AS t FROM (SELECT DISTINCT unnest(ws) AS w FROM d)),
+v AS MATERIALIZED (SELECT w, {sql_mix("t")} AS h FROM w),
+p AS MATERIALIZED (SELECT doc_id, n, i, h FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM d) JOIN v USING (w)),
+q AS (SELECT doc_id, n, i, h AS h0, coalesce(lead(h, 1) OVER o, 0) AS h1, coalesce(lead(h, 2) OVER o, 0) AS h2 FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s1 AS MATERIALIZED (SELECT doc_id, {add("h0", "1")} AS a, h1, h2 FROM q WHERE i <= greatest(n - {RUN}, 0)),
+s2 AS MATERIALIZED (SELECT doc_id, {add(sql_mix("a"), "h1")} AS a, h2 FROM s1),
+s3 AS MATERIALIZED (SELECT doc_id, {add("a", "2")} AS a, h2 FROM s2),
+s4 AS MATERIALIZED (SELECT doc_id, {add(sql_mix("a"), "h2")} AS a FROM s3),
+x AS MATERIALIZED (SELECT doc_id, {sql_mix("a")} >> 32 AS x FROM s4),
+g AS MATERIALIZED (SELECT doc_id, unnest(sig) AS v, unnest(range(0, {COORDINATES})) AS k FROM (SELECT doc_id, [{sig}] AS sig FROM x GROUP BY doc_id)),
+e AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM g AS a JOIN g AS b ON a.k = b.k AND a.v = b.v AND a.doc_id <> b.doc_id GROUP BY ALL HAVING count(*) >= {least_matches(threshold)}),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT doc_id, coalesce(least(doc_id, (SELECT min(b) FROM r WHERE a = doc_id)), doc_id) AS group_id, (SELECT count(*) FROM e WHERE a = doc_id) AS n_links FROM d"""

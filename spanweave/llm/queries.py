@@ -28,10 +28,12 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_benchmark_matches": decontamination.sql_matches("documents", "benchmark"),
         "op3_poisson_mixing": mixing.sql_mixed("documents"),
         "op5_line_dedup": line_dedup.ORACLE,
         "op6_recompression_repeats": recompression.sql_repeats("documents"),
         "op7_flow_resharding": resharding.sql_reshard("documents"),
         "op8_quality_rules": quality_rules.oracle(),
         "op9_preference_pairs": chat_pairs.ORACLE,
+        "op10_minhash_groups": minhash_dedup.sql_links("documents"),
     }

@@ -64,6 +64,22 @@ def sql_words(column: str) -> str:
     return f"regexp_extract_all(lower({column}), '{re.sub(r'.U([0-9a-f]{8})', lambda m: chr(92) + 'x{' + m[1].lstrip('0') + '}', pattern)}')"
 
 
+def sql_mix(h: str) -> str:
+    """DuckDB text of ``mix`` of an UBIGINT expression, by nested lambdas over a list of one."""
+    wide = "CAST({} AS UHUGEINT) * CAST({} AS UHUGEINT) % CAST(18446744073709551616 AS UHUGEINT)"
+    out = f"[xor({h}, {h} >> 33)]"
+    for c in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        out = f"list_transform(list_transform({out}, lambda y: CAST({wide.format('y', c)} AS UBIGINT)), lambda y: xor(y, y >> 33))"
+    return f"({out})[1]"
+
+
+def sql_word_hash(word: str) -> str:
+    """DuckDB text of a word's hash, for words of at most 256 bytes."""
+    byte, step = (f"[{', '.join(map(str, x[:256].tolist()))}]" for x in (_BYTE, _STEP))
+    part = f"CAST({byte}[CAST('0x' || substr(hex({word}), 2 * i - 1, 2) AS INT) + 1] AS UHUGEINT) * CAST({step}[i] AS UHUGEINT) % CAST(18446744073709551616 AS UHUGEINT)"
+    return f"CAST((list_sum(list_transform(range(1, strlen({word}) + 1), lambda i: CAST({part} AS HUGEINT))) + strlen({word})) % 18446744073709551616 AS UBIGINT)"
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values so that every bit depends on every bit."""
     h = h ^ (h >> np.uint64(33))
