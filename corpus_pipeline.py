@@ -50,8 +50,16 @@ STAGES = [
     ("sharding", sharding_stage),
 ]
 
-#: Signatures and proximity can't be written in SQL; the tests hold the pipeline against brute force.
-ORACLE_SQL = None
+#: The stages one after another, for documents with distinct ids.
+ORACLE_SQL = f"""
+WITH ruled AS MATERIALIZED (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM (SELECT *, {quality_rules.sql_failed()} AS failed FROM ({quality_rules.sql_measures("documents")})) WHERE failed = '')),
+near AS MATERIALIZED ({minhash_dedup.sql_links("ruled")}),
+single AS MATERIALIZED (SELECT * FROM ruled WHERE doc_id IN (SELECT doc_id FROM near WHERE doc_id = group_id)),
+leaks AS MATERIALIZED ({decontamination.sql_matches("single", "benchmark")}),
+clean AS MATERIALIZED (SELECT * FROM single WHERE doc_id NOT IN (SELECT doc_id FROM leaks)),
+mixed AS MATERIALIZED (SELECT * EXCLUDE (copy, mix_key) FROM ({mixing.sql_mixed("clean")}))
+SELECT * FROM ({resharding.sql_reshard("mixed")})
+"""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

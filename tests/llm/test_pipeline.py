@@ -67,6 +67,14 @@ def test_run_equals_brute_force(spark, tmp_path):
     assert max(shards) < resharding.NEW_SHARDS and max(shards.values()) <= room + 3 * largest
 
 
+def test_run_equals_its_sql(spark, sf_dir, duck):
+    got = cp.run(spark, sf_dir)
+    want = duck.execute(cp.ORACLE_SQL)
+    names = [d[0] for d in want.description]
+    assert sorted(got.columns) == sorted(names)
+    assert Counter(tuple(r) for r in got.select(*names).collect()) == Counter(want.fetchall())
+
+
 def test_run_on_odd_rows(spark, tmp_path):
     """Null ids, repeated rows, ids that repeat, null sources, a very long text and columns named as the stages' own."""
     rows, bench = _fixture()
